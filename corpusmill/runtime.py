@@ -72,7 +72,7 @@ class Scratch:
 
 def input_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Size that the optimizer's statistics give for df (compressed bytes for a file scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def slices(spark: SparkSession, df: DataFrame, bytes_per_slice: int, least: int = 1) -> int:
