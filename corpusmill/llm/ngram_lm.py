@@ -3,9 +3,11 @@
 The corpus is counted in blocks; a block sends each shard one compact row of its words
 and bigrams, so counting is one shuffle of pre-aggregated keys. A shard holds the
 contexts whose hash falls to it: a first level of sorted word hashes with counts and
-backoff weights, and a second level in which the number of the context and the key of
-the successor form one monotone sequence. Both are Elias-Fano coded: low bits packed,
-high parts in unary, so a context's successors are found by a search relative to it.
+backoff weights and monotone pointers to its successors, and a second level of
+successor keys. A key is stored relative to its context: scaled to the context's span
+of pointers, so that all successors form one monotone, evenly spread sequence. Both
+levels are Elias-Fano coded: low bits packed, high parts in unary; a successor is
+searched within its context's span only.
 Discounted probabilities and backoff weights are quantised to one byte. Scoring maps
 the shard files into memory; nothing of the model is held in an executor's heap.
 
@@ -195,6 +197,11 @@ def successor_key(h: np.ndarray) -> np.ndarray:
     return (h * U(0x9E3779B97F4A7C15)) >> U(64 - KEY_BITS)
 
 
+def relative_key(key: np.ndarray, first: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """A successor key within its context's span of pointers."""
+    return (first.astype(U) << U(KEY_BITS)) + key * span.astype(U)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
     for b in batches:
@@ -267,12 +274,19 @@ def build_shard(shard: int, blobs: list[bytes], min_count: int = 2) -> bytes:
     book, code = quantise(np.log10(share))
     backoff = np.where(total > 0, 1 - np.bincount(ctx[keep], 10 ** book[code], len(h)) / 1.0, 1.0)
     bbook, bcode = quantise(np.log10(np.clip(backoff, 1e-6, 1.0)))
-    width = KEY_BITS + max(1, len(h)).bit_length()
-    level1, level2 = EliasFano.encode(h, 64), EliasFano.encode(pair[keep], width)
+    span = np.bincount(ctx[keep], minlength=len(h)).astype(np.int64)
+    pointer = np.concatenate([[0], np.cumsum(span)])
+    kept = int(pointer[-1])
+    if kept >> (62 - KEY_BITS):
+        raise ValueError("a shard is too large: lower shard_bytes")
+    relative = relative_key(pair[keep] & U((1 << KEY_BITS) - 1), pointer[ctx[keep]], span[ctx[keep]])
+    level1, level2 = EliasFano.encode(h, 64), EliasFano.encode(relative, KEY_BITS + max(1, kept).bit_length())
+    width = max(1, kept).bit_length()
     known = c > 0
     parts = [MAGIC, struct.pack("<QQQQ", shard, int(c.sum()), int(known.sum()), len(h)), book.astype("<f8").tobytes(), bbook.astype("<f8").tobytes()]
     pad = lambda b: b + b"\0" * (-len(b) % 8)
-    parts += [*level1.dump(), pad(c.astype("<u4").tobytes() if c.max(initial=0) < 1 << 32 else b""), pad(bcode.tobytes()), *level2.dump(), pad(code.tobytes())]
+    parts += [*level1.dump(), struct.pack("<Q", width), _pack(pointer.astype(U), width).astype("<u8").tobytes()]
+    parts += [pad(c.astype("<u4").tobytes() if c.max(initial=0) < 1 << 32 else b""), pad(bcode.tobytes()), *level2.dump(), pad(code.tobytes())]
     return b"".join(parts)
 
 
@@ -287,6 +301,10 @@ class Shard:
         at = 40
         self.book, self.bbook = np.frombuffer(data, "<f8", 256, at), np.frombuffer(data, "<f8", 256, at + 2048)
         self.level1, at = EliasFano.load(data, at + 4096)
+        (self.width,) = struct.unpack_from("<Q", data, at)
+        size = ((n + 1) * self.width + 63) // 64 + 2
+        self.pointer = np.frombuffer(data, "<u8", size, at + 8)
+        at += 8 + 8 * size
         self.count = np.frombuffer(data, "<u4", n, at)
         at += 4 * n + (-4 * n) % 8
         self.bcode = np.frombuffer(data, np.uint8, n, at)
@@ -295,6 +313,16 @@ class Shard:
         self.code = np.frombuffer(data, np.uint8, self.level2.n, at)
 
 
+    def successors(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rank of each successor below its context (a rank in the first level), or -1."""
+        out = np.full(len(context), -1, np.int64)
+        a, b = (_unpack(self.pointer, context + k, self.width).astype(np.int64) for k in (0, 1))
+        at = np.flatnonzero(b > a)
+        r = self.level2.find(relative_key(key[at], a[at], b[at] - a[at]))
+        out[at] = np.where((r >= a[at]) & (r < b[at]), r, -1)
+        return out
+
+
 class Model:
     def __init__(self, paths: list[str], shards: int):
         self.shards: list[Shard | None] = [None] * shards
@@ -330,7 +358,7 @@ class Model:
             at = at[rank[left[at]] >= 0]
             if s is None or not len(at):
                 continue
-            r = s.level2.find((rank[left[at]].astype(U) << U(KEY_BITS)) | key[right[at]])
+            r = s.successors(rank[left[at]], key[right[at]])
             ok = r >= 0
             alpha[at[ok]] = 10 ** s.book[s.code[r[ok]]]
         logp = np.log10(alpha + back[left] * p1[right])
