@@ -79,7 +79,16 @@ class ChunkEncoder:
             if len(cache) > self.keep:
                 cache.clear()
                 new = {c for p in parts if p for c in p}
-            self.learn(list(new))
+            # a word and its closing punctuation are separate pre-tokens: learn each once
+            halves = {}
+            for c in new:
+                core = c.rstrip(".,!?;:")
+                if core and core != c and core[-1].isalpha():
+                    halves[c] = (core, c[len(core) :])
+            fresh = {x for c in new for x in halves.get(c, (c,)) if x not in cache}
+            self.learn(list(fresh))
+            for c, (a, b) in halves.items():
+                cache[c] = cache[a] + cache[b]
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(cache.__getitem__, p)) for t, p in zip(texts, parts)]
 
 
