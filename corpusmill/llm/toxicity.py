@@ -13,7 +13,6 @@ texts that gave no counts.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,8 +34,8 @@ class ToxicityModel:
 
     def fit(self, rows: Iterable[tuple[str | None, int]], base_rate: float) -> ToxicityModel:
         """rows: (text, 1 for toxic or 0). Copies count once; every fourth text calibrates only."""
-        uni, bi, docs = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
-        df, df2, kept, seen = [Counter(), Counter()], [Counter(), Counter()], [], set()
+        ids: dict[bytes, int] = {}
+        coded, kept, seen = [[], []], [], set()
         for text, label in rows:
             w, y = words(text), int(label)
             if (key := hash((y, tuple(w)))) in seen:
@@ -44,56 +43,51 @@ class ToxicityModel:
             seen.add(key)
             if len(seen) % 4 == 0:
                 kept.append((text, y))
-                continue
-            pairs = list(zip(w, w[1:]))
-            docs[y] += 1
-            uni[y].update(w)
-            bi[y].update(pairs)
-            df[y].update(set(w))
-            df2[y].update(set(pairs))
-        self._ratios(uni, bi, df, df2, docs)
+            else:
+                coded[y].append(np.array([ids.setdefault(x, len(ids)) for x in w], np.int32))
+        self._ratios(list(ids), coded)
         self._calibrate(kept, base_rate)
         return self
 
-    def _telling(self, df: list[Counter], docs: list[int]) -> list:
-        """Expressions whose share of documents differs between the classes by z standard errors or more."""
+    def _telling(self, df: list[np.ndarray], docs: list[int]) -> np.ndarray:
+        """Where the share of documents differs between the classes by z standard errors or more."""
         if not all(docs):
-            return []
-        out, spread = [], 1 / docs[0] + 1 / docs[1]
-        for x in df[0].keys() | df[1].keys():
-            p = (df[0][x] + df[1][x]) / sum(docs)
-            if abs(df[1][x] / docs[1] - df[0][x] / docs[0]) >= self.z * math.sqrt(p * max(1 - p, 1e-9) * spread) and df[0][x] + df[1][x] >= 4:
-                out.append(x)
-        return sorted(out)
-
-    def _ratios(self, uni, bi, df, df2, docs) -> None:
-        d = self.discount
-        follows, contexts = Counter(), 0
-        for h, w in bi[0].keys() | bi[1].keys():
-            follows[w] += 1
-            contexts += 1
-        types = len(uni[0].keys() | uni[1].keys()) + 1
-        total = [max(1, sum(c.values())) for c in uni]
+            return np.zeros(0, np.int64)
+        p = (df[0] + df[1]) / sum(docs)
+        error = np.sqrt(p * np.maximum(1 - p, 1e-9) * (1 / docs[0] + 1 / docs[1]))
+        return np.flatnonzero((np.abs(df[1] / docs[1] - df[0] / docs[0]) >= self.z * error) & (df[0] + df[1] >= 4))
+
+    def _ratios(self, names: list[bytes], coded: list[list[np.ndarray]]) -> None:
+        """Counts are arrays over word numbers, so memory is a few times the sample's tokens."""
+        d, v, docs = self.discount, max(len(names), 1), [len(x) for x in coded]
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        pair = lambda c: c[:-1].astype(np.int64) * v + c[1:]
+        uni = [np.bincount(join(x).astype(np.int64), minlength=v) for x in coded]
+        df = [np.bincount(join([np.unique(c) for c in x]).astype(np.int64), minlength=v) for x in coded]
+        keys = np.unique(join([np.unique(pair(c)) for x in coded for c in x]).astype(np.int64))
+        place = lambda parts: np.bincount(np.searchsorted(keys, join(parts).astype(np.int64)), minlength=len(keys))
+        bi = [place([pair(c) for c in x]) for x in coded]
+        df2 = [place([np.unique(pair(c)) for c in x]) for x in coded]
+        follows, contexts = np.bincount(keys % v, minlength=v), len(keys)
+        total = [max(1, int(c.sum())) for c in uni]
+        types = int(((uni[0] + uni[1]) > 0).sum()) + 1
         spare = d * types / sum(total)  # what discounting frees, alike in both models
-        p = lambda c, w: max(uni[c][w] - d, 0) / total[c] + spare * (follows[w] + 1) / (contexts + types)
-        ratio = {w: math.log(p(1, w) / p(0, w)) for w in self._telling(df, docs)}
-        pairs = {}
-        for h, w in self._telling(df2, docs):
-            q = []
-            for c in (0, 1):
-                n = max(uni[c][h], 1)
-                left = 2.0
-                q.append((max(bi[c][h, w] - d, 0) + left * p(c, w)) / (n + left))
-            more = math.log(q[1] / q[0]) - ratio.get(w, 0.0)
-            if abs(more) > 0.05:
-                pairs[h, w] = more
-        ids = {w: i + 1 for i, w in enumerate(sorted({*ratio, *(x for pair in pairs for x in pair)}))}
-        self.coder = Coder(ids)
-        self.uni = np.zeros(len(ids) + 1)
-        for w, v in ratio.items():
-            self.uni[ids[w]] = v
-        keys = sorted((ids[h] * len(self.uni) + ids[w], v) for (h, w), v in pairs.items())
-        self.pairs, self.bi = np.array([k for k, _ in keys], np.int64), np.array([v for _, v in keys])
+        p = [np.maximum(uni[c] - d, 0) / total[c] + spare * (follows + 1) / (contexts + types) for c in (0, 1)]
+        ratio = np.zeros(v)
+        telling = self._telling(df, docs)
+        ratio[telling] = np.log(p[1][telling] / p[0][telling])
+        at = self._telling(df2, docs)
+        h, w = keys[at] // v, keys[at] % v
+        q = [(np.maximum(bi[c][at] - d, 0) + 2.0 * p[c][w]) / (np.maximum(uni[c][h], 1) + 2.0) for c in (0, 1)]
+        more = np.log(q[1] / q[0]) - ratio[w]
+        strong = np.abs(more) > 0.05
+        h, w, more = h[strong], w[strong], more[strong]
+        used = np.unique(join([telling, h, w]).astype(np.int64))
+        number = {int(k): i + 1 for i, k in enumerate(used)}
+        self.coder = Coder({names[k]: i for k, i in number.items()})
+        self.uni = np.concatenate([[0.0], ratio[used]])
+        pairs = sorted((number[a] * len(self.uni) + number[b], m) for a, b, m in zip(h.tolist(), w.tolist(), more.tolist()))
+        self.pairs, self.bi = np.array([k for k, _ in pairs], np.int64), np.array([m for _, m in pairs])
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Mean log ratio of the whole text and of its most toxic window."""
@@ -139,7 +133,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 3000, **settings) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 2000, **settings) -> ToxicityModel:
     """A model from the labelled documents, at most about max_docs of each class.
 
     Rows are chosen by a hash of their id against a share that the class counts give, so
