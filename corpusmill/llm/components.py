@@ -34,16 +34,17 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in stars], pa.int64()), pa.array([x[1] for x in stars], pa.int64())], names=["a", "b"])
 
 
-def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", contracted: bool = False) -> DataFrame:
     """(node, component) for every node that has a link; component is its smallest reachable node.
 
     Each step is one aggregation (combined map-side) and one equi-join of which
     adaptive execution may split hot keys, then a written table that cuts lineage.
     The number of steps grows with the logarithm of a component's diameter. Null
-    ends and self links are ignored; an empty table gives an empty result.
+    ends and self links are ignored; an empty table gives an empty result. Links that
+    their maker has contracted per batch pass through no further Python worker.
     """
     e = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    e = scratch.table(e.mapInArrow(_contract, "a long, b long").distinct(), "stars-0")
+    e = scratch.table((e if contracted else e.mapInArrow(_contract, "a long, b long")).distinct(), "stars-0")
     step = 0
     while True:
         # large star: every larger neighbour of u links to the smallest of u and its neighbours

@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.components import components
+from corpusmill.llm.components import components, forest
 from corpusmill.runtime import Scratch, ship
 
 SEED = 42
@@ -70,9 +69,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _masks(rows: list[tuple[int, int, int]]) -> Column:
-    """One literal array of (table, parent table, mask), exploded."""
-    return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(of).alias("of"), F.lit(_signed(m)).alias("m")) for t, of, m in rows])).alias("k")
+def _masks(masks: list[tuple[int, list[int]]]) -> Column:
+    """One literal array of (table, mask), exploded."""
+    return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("m")) for t, (m, _) in enumerate(masks)])).alias("k")
+
+
+def _bucket(table: str, mask: str) -> Column:
+    """A fingerprint's bucket as one number; two buckets that share it are merely compared as one."""
+    return F.xxhash64(F.col(table), F.col("fp").bitwiseAND(F.col(mask))).alias("h")
 
 
 def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -95,14 +99,20 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _bucket_links(radius: int):
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def links(fps: pd.Series, reps: pd.Series) -> pd.Series:
-        out = []
-        for f, r in zip(fps, reps):
-            out.append([{"a": int(r[i]), "b": int(r[j])} for i, j in spanning_links(np.asarray(f, dtype=np.int64), radius)])
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, fps = b.column(0).offsets.to_numpy(), b.column(0).values.to_numpy(zero_copy_only=False)
+            two = np.diff(at) == 2
+            x, y = fps[at[:-1][two]], fps[at[:-1][two] + 1]
+            near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
+            pairs = list(zip(x[near].tolist(), y[near].tolist()))
+            for start, end in zip(at[:-1][~two].tolist(), at[1:][~two].tolist()):
+                part = fps[start:end]
+                pairs += [(int(part[i]), int(part[j])) for i, j in spanning_links(part, radius)]
+            stars = forest(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in stars], pa.int64()), pa.array([top for _, top in stars], pa.int64())], names=["a", "b"])
 
-    return links
+    return run
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words_per_shingle: int = 3, bucket: int = 1 << 16) -> DataFrame:
@@ -127,20 +137,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fps = scratch.table(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     classes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     first = covering_masks(list(range(64)), radius)
+    keys = classes.filter("rep is not null").select("fp", _masks(first)).select("fp", _bucket("k.t", "k.m"))
+    sizes = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.table(keys.join(sizes, "h"), "shared")
+    cold = shared.filter(F.col("n") <= bucket).select("fp", "h")
+    hot = shared.filter(F.col("n") > bucket).select("fp", F.col("h").alias("h1"), _masks(first)).filter(_bucket("k.t", "k.m") == F.col("h1"))
     second = [(t, m | m2) for t, (m, free) in enumerate(first) for m2, _ in covering_masks(free, radius)]
-    key = F.col("fp").bitwiseAND(F.col("k.m")).alias("key")
-    keys = classes.filter("rep is not null").select("fp", "rep", _masks([(t, 0, m) for t, (m, _) in enumerate(first)])).select("fp", "rep", "k.t", key)
-    sizes = keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.table(keys.join(sizes, ["t", "key"]), "shared")
-    cold = shared.filter(F.col("n") <= bucket).select("fp", "rep", "t", "key")
-    hot = shared.filter(F.col("n") > bucket).select("fp", "rep", F.col("t").alias("t1"))
     masks = spark.createDataFrame([(len(first) + i, t, _signed(m)) for i, (t, m) in enumerate(second)], "t int, of int, m long")
-    again = hot.join(F.broadcast(masks), hot["t1"] == masks["of"]).select("fp", "rep", "t", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
-    groups = cold.union(again).groupBy("t", "key").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps")).filter(F.size("fps") > 1)
-    links = groups.select(F.explode(_bucket_links(radius)("fps", "reps")).alias("l")).select("l.a", "l.b")
-    comps = components(links, scratch)
-    named = classes.join(comps, classes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    again = hot.join(F.broadcast(masks), F.col("k.t") == masks["of"]).select("fp", _bucket("t", "m"))
+    groups = cold.union(again).groupBy("h").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    comps = components(groups.mapInArrow(_bucket_links(radius), "a long, b long"), scratch, contracted=True)
+    named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    return fps.join(named.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
