@@ -216,6 +216,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
         yield ids, texts
 
 
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, places ordered by value, ends of each value's run of places)."""
+    order = np.argsort(values, kind="stable")
+    present, first = np.unique(values[order], return_index=True)
+    return present, order, np.append(first, len(values))
+
+
 # -- counting -----------------------------------------------------------------
 def _requests(block: Block, shards: int) -> Iterator[tuple[int, bytes]]:
     """For each shard: its words with counts, and its contexts' successors with counts."""
@@ -223,13 +230,12 @@ def _requests(block: Block, shards: int) -> Iterator[tuple[int, bytes]]:
     pair, times = np.unique(block.pairs, return_counts=True)
     left, right = pair // len(block.hash), pair % len(block.hash)
     word_shard = (block.hash % U(shards)).astype(np.int64)
-    order = np.argsort(word_shard, kind="stable")
-    ends = np.searchsorted(word_shard[order], np.arange(shards + 1))
+    present, order, ends = _groups(word_shard)
     by = np.argsort(word_shard[left], kind="stable")
-    pends = np.searchsorted(word_shard[left][by], np.arange(shards + 1))
+    pends = np.searchsorted(word_shard[left][by], np.append(present, shards))
     key = successor_key(block.hash)[right]
-    for s in range(shards):
-        w, p = order[ends[s] : ends[s + 1]], by[pends[s] : pends[s + 1]]
+    for k, s in enumerate(present.tolist()):
+        w, p = order[ends[k] : ends[k + 1]], by[pends[k] : pends[k + 1]]
         w = w[(count[w] > 0) | (w == 1)]
         if not len(w):
             continue
@@ -337,9 +343,10 @@ class Model:
         n = len(block.hash)
         shard = (block.hash % U(len(self.shards))).astype(np.int64)
         count, rank, back = np.zeros(n), np.full(n, -1, np.int64), np.ones(n)
-        for k, s in enumerate(self.shards):
-            at = np.flatnonzero(shard == k)
-            if s is None or not len(at):
+        present, order, ends = _groups(shard)
+        for k, a, b in zip(present.tolist(), ends[:-1], ends[1:]):
+            s, at = self.shards[k], order[a:b]
+            if s is None:
                 continue
             r = s.level1.find(block.hash[at])
             ok = r >= 0
@@ -351,10 +358,9 @@ class Model:
         left, right = pair // n, pair % n
         alpha = np.zeros(len(pair))
         key = successor_key(block.hash)
-        by = np.argsort(shard[left], kind="stable")
-        ends = np.searchsorted(shard[left][by], np.arange(len(self.shards) + 1))
-        for k, s in enumerate(self.shards):
-            at = by[ends[k] : ends[k + 1]]
+        present, by, ends = _groups(shard[left])
+        for k, a, b in zip(present.tolist(), ends[:-1], ends[1:]):
+            s, at = self.shards[k], by[a:b]
             at = at[rank[left[at]] >= 0]
             if s is None or not len(at):
                 continue
