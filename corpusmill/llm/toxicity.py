@@ -6,8 +6,9 @@ classes together. An expression whose share of documents does not differ between
 classes beyond chance, rare ones above all, keeps no class count: it gets the shared
 estimate in either model and says nothing for a class. A text's evidence is the
 difference of its length-normalised log-likelihoods, over the whole text and over its
-most toxic window, put on a probability scale by logistic calibration on training
-texts that gave no counts.
+most toxic window, put on a probability scale by logistic calibration on evidence
+from models whose counts leave the text itself out (four folds); the final counts
+take all training texts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from corpusmill.runtime import ship
 class ToxicityModel:
     """Log-likelihood ratios of the two models, laid out for scoring, and the calibration."""
 
+    FOLDS = 4
+
     def __init__(self, window: int = 64, discount: float = 0.75, z: float = 4.0):
         self.window, self.discount, self.z = window, discount, z
         self.coder, self.uni = Coder({}), np.zeros(1)
@@ -33,22 +36,30 @@ class ToxicityModel:
         self.weights = np.array([-3.0, 0.0, 0.0])
 
     def fit(self, rows: Iterable[tuple[str | None, int]], base_rate: float) -> ToxicityModel:
-        """rows: (text, 1 for toxic or 0). Copies count once; every fourth text calibrates only."""
+        """rows: (text, 1 for toxic or 0). Copies count once, so none is in another fold than its original."""
         ids: dict[bytes, int] = {}
-        coded, kept, seen = [[], []], [], set()
+        coded, labels, seen = [], [], set()
         for text, label in rows:
             w, y = words(text), int(label)
             if (key := hash((y, tuple(w)))) in seen:
                 continue
             seen.add(key)
-            if len(seen) % 4 == 0:
-                kept.append((text, y))
-            else:
-                coded[y].append(np.array([ids.setdefault(x, len(ids)) for x in w], np.int32))
-        self._ratios(list(ids), coded)
-        self._calibrate(kept, base_rate)
+            coded.append(np.array([ids.setdefault(x, len(ids)) for x in w], np.int32))
+            labels.append(y)
+        names, y, fold = list(ids), np.array(labels, int), np.arange(len(coded)) % self.FOLDS
+        x = np.zeros((len(coded), 2))
+        for k in range(self.FOLDS):
+            number = self._ratios(names, self._classes(coded, y, fold != k))
+            for i in np.flatnonzero(fold == k):
+                x[i] = self._evidence(number[coded[i]])
+        self._ratios(names, self._classes(coded, y, fold >= 0))
+        self._calibrate(x, y, base_rate)
         return self
 
+    @staticmethod
+    def _classes(coded: list[np.ndarray], y: np.ndarray, take: np.ndarray) -> list[list[np.ndarray]]:
+        return [[coded[i] for i in np.flatnonzero(take & (y == c))] for c in (0, 1)]
+
     def _telling(self, df: list[np.ndarray], docs: list[int]) -> np.ndarray:
         """Where the share of documents differs between the classes by z standard errors or more."""
         if not all(docs):
@@ -57,8 +68,11 @@ class ToxicityModel:
         error = np.sqrt(p * np.maximum(1 - p, 1e-9) * (1 / docs[0] + 1 / docs[1]))
         return np.flatnonzero((np.abs(df[1] / docs[1] - df[0] / docs[0]) >= self.z * error) & (df[0] + df[1] >= 4))
 
-    def _ratios(self, names: list[bytes], coded: list[list[np.ndarray]]) -> None:
-        """Counts are arrays over word numbers, so memory is a few times the sample's tokens."""
+    def _ratios(self, names: list[bytes], coded: list[list[np.ndarray]]) -> np.ndarray:
+        """Sets the ratios; returns the coder's number of each name (0: none).
+
+        Counts are arrays over word numbers, so memory is a few times the sample's tokens.
+        """
         d, v, docs = self.discount, max(len(names), 1), [len(x) for x in coded]
         join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         pair = lambda c: c[:-1].astype(np.int64) * v + c[1:]
@@ -88,10 +102,15 @@ class ToxicityModel:
         self.uni = np.concatenate([[0.0], ratio[used]])
         pairs = sorted((number[a] * len(self.uni) + number[b], m) for a, b, m in zip(h.tolist(), w.tolist(), more.tolist()))
         self.pairs, self.bi = np.array([k for k, _ in pairs], np.int64), np.array([m for _, m in pairs])
+        code = np.zeros(v, np.int64)
+        code[used] = np.arange(1, len(used) + 1)
+        return code
 
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Mean log ratio of the whole text and of its most toxic window."""
-        code = self.coder.codes(text)
+        return self._evidence(self.coder.codes(text))
+
+    def _evidence(self, code: np.ndarray) -> tuple[float, float]:
         n = len(code)
         if not n:
             return 0.0, 0.0
@@ -112,11 +131,11 @@ class ToxicityModel:
     def _inputs(mean: float, window: float) -> tuple[float, float, float]:
         return 1.0, min(max(100 * mean, -10.0), 20.0), min(max(20 * window, -10.0), 20.0)
 
-    def _calibrate(self, kept: list[tuple[str | None, int]], base_rate: float) -> None:
-        if len({y for _, y in kept}) < 2:
+    def _calibrate(self, evidence: np.ndarray, labels: np.ndarray, base_rate: float) -> None:
+        if len(set(labels.tolist())) < 2:
             return
-        x = np.array([self._inputs(*self.evidence(t)) for t, _ in kept])
-        y = np.array([t for _, t in kept], float)
+        x = np.array([self._inputs(*e) for e in evidence])
+        y = labels.astype(float)
         base_rate = min(max(base_rate, 1e-4), 1 - 1e-4)
         weight = np.where(y == 1, base_rate / y.mean(), (1 - base_rate) / (1 - y.mean()))
         b, ridge = np.array([math.log(base_rate / (1 - base_rate)), 0.0, 0.0]), np.diag([1e-3, 1e-1, 1e-1])
