@@ -38,7 +38,7 @@ class ChunkEncoder:
     Texts with other white space than spaces and line feeds are encoded in one piece.
     """
 
-    def __init__(self, definition: str, keep: int = 300_000):
+    def __init__(self, definition: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.keep = Tokenizer.from_str(definition), {}, keep
