@@ -8,6 +8,7 @@ ascending doc_id order, so a short document is read by one seek and one small fr
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -96,6 +97,7 @@ _ENCODERS: dict[int, ChunkEncoder] = {}
 
 
 def _encoder(definition: str) -> ChunkEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     key = zlib.crc32(definition.encode())
     if key not in _ENCODERS:
         _ENCODERS.clear()
