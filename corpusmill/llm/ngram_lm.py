@@ -1,19 +1,21 @@
-"""N-gram language model in Elias-Fano tries.
-
-The corpus is counted in blocks; a block sends each shard one compact row of its words
-and bigrams, so counting is one shuffle of pre-aggregated keys. A shard holds the
-contexts whose hash falls to it: a first level of sorted word hashes with counts and
-backoff weights and monotone pointers to its successors, and a second level of
-successor keys. A key is stored relative to its context: scaled to the context's span
-of pointers, so that all successors form one monotone, evenly spread sequence. Both
-levels are Elias-Fano coded: low bits packed, high parts in unary; a successor is
-searched within its context's span only.
+"""Trigram language model in Elias-Fano tries.
+
+The corpus is counted in blocks; a block sends each shard one compact row of its words,
+bigrams and trigrams, so counting is one shuffle of pre-aggregated keys. Bigrams go by
+the hash of their context, a word, and trigrams by that of theirs, a pair, so a frequent
+word's trigrams spread over all shards. For either order a shard holds a level of sorted
+context hashes with backoff weights (and counts for words), and a level of successors. A
+successor's key is mixed from its context's rank and its own hash, so keys are evenly
+spread however many successors a context has. All levels are Elias-Fano coded: low bits
+packed, high parts in unary. Every n-gram counted is kept.
+A successor that was never seen is taken for another with a chance of about 2**-24, a
+pair for another with one of (pairs in the shard) / 2**40.
 Discounted probabilities and backoff weights are quantised to one byte. Scoring maps
 the shard files into memory; nothing of the model is held in an executor's heap.
 
-Probabilities are interpolated with absolute discounting:
-p(w|h) = max(c(hw) - D, 0) / c(h) + b(h) * (c(w) + 1) / (N + V + 1).
-Bigrams below min_count keep their share in c(h), and their mass goes to b(h).
+Probabilities are interpolated with absolute discounting, one discount an order and shard:
+p(w|v) = max(c(vw) - D, 0) / c(v) + b(v) * (c(w) + 1) / (N + V + 1),
+p(w|uv) = max(c(uvw) - D, 0) / c(uv) + b(uv) * p(w|v).
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ from corpusmill.runtime import Scratch, ship, slices
 
 U = np.uint64
 END, START = 0x1D4F3A9B7C5E2081, 0x6B8E0F2D4C9A7135  # hashes of the end token and of the start context
-KEY_BITS = 40  # of a successor within its context
-MAGIC = b"CMTRIE01"
+KEY_BITS = 40  # of a word within its context, and of a pair within its shard
+LAST_BITS = 32  # of a word after a pair
+SURE_BITS = 24  # of a successor's key beyond those that number its level
+MAGIC = b"CMTRIE02"
 
 
 # -- Elias-Fano ---------------------------------------------------------------
@@ -65,7 +69,7 @@ def _unpack(words: np.ndarray, i: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """A sorted sequence of distinct unsigned keys below 2**bits, searched without being expanded."""
+    """A sorted sequence of unsigned keys below 2**bits, searched without being expanded."""
 
     STEP = 64  # high parts between two directory entries
 
@@ -93,7 +97,7 @@ class EliasFano:
         return np.where(off > 0, (self.high[word] >> off) | (self.high[nxt] << ((U(64) - off) & U(63))), self.high[word])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Rank of each key, or -1."""
+        """Rank of each key (the first of equal ones), or -1."""
         out = np.full(len(keys), -1, np.int64)
         if not self.n or not len(keys):
             return out
@@ -149,10 +153,13 @@ class EliasFano:
 
 # -- quantisation -------------------------------------------------------------
 def quantise(values: np.ndarray, bins: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(codebook of bins values, one byte each): equal-mass bins over the logarithm, each told by its mean."""
+    """(codebook of bins values, one byte each): bins of equally many distinct values, each told by its mean.
+
+    Most n-grams share a few values, so bins of equal mass would leave the others a handful of bins.
+    """
     if not len(values):
         return np.zeros(bins), np.zeros(0, np.uint8)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1]))
+    edges = np.unique(np.quantile(np.unique(values), np.linspace(0, 1, bins + 1)[1:-1]))
     code = np.searchsorted(edges, values, side="right")
     total = np.bincount(code, values, bins)
     count = np.bincount(code, minlength=bins)
@@ -187,19 +194,38 @@ class Block:
         self.context[1:] = self.tokens[:-1]
         if len(parts):
             self.context[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = 1
+        n = len(self.hash)
+        pair, self.pair_of, self.pair_times = np.unique(self.context * n + self.tokens, return_inverse=True, return_counts=True)
+        self.left, self.right = pair // n, pair % n
+        self.pair_hash = mixed(self.hash[self.left], self.hash[self.right])
+        self.inner = np.flatnonzero(self.context != 1)  # tokens with two before them, the start counted
+        triple, self.triple_of, self.triple_times = np.unique(self.pair_of[self.inner - 1] * n + self.tokens[self.inner], return_inverse=True, return_counts=True)
+        self.before, self.last = triple // n, triple % n  # a pair's number, a word's
+
 
-    @property
-    def pairs(self) -> np.ndarray:
-        return self.context * len(self.hash) + self.tokens
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two numbers each."""
+    h = (a.astype(U) + U(0x9E3779B97F4A7C15)) * U(0xBF58476D1CE4E5B9)
+    h = ((h ^ (h >> U(31))) + b.astype(U)) * U(0x94D049BB133111EB)
+    h = (h ^ (h >> U(29))) * U(0x9E3779B97F4A7C15)
+    return h ^ (h >> U(32))
 
 
 def successor_key(h: np.ndarray) -> np.ndarray:
     return (h * U(0x9E3779B97F4A7C15)) >> U(64 - KEY_BITS)
 
 
-def relative_key(key: np.ndarray, first: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """A successor key within its context's span of pointers."""
-    return (first.astype(U) << U(KEY_BITS)) + key * span.astype(U)
+def last_key(h: np.ndarray) -> np.ndarray:
+    return successor_key(h) >> U(KEY_BITS - LAST_BITS)
+
+
+def pair_key(h: np.ndarray) -> np.ndarray:
+    return h >> U(64 - KEY_BITS)
+
+
+def level_key(rank: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Key of a successor in a level of n, out of its context's rank and its own key."""
+    return mixed(rank, key) >> U(64 - SURE_BITS - n.bit_length())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
@@ -224,76 +250,109 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 # -- counting -----------------------------------------------------------------
+def _dealt(shards: int, shard: np.ndarray, key: np.ndarray, keep: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(contexts by shard and key, how many successors each has, successors in that order, ends of each shard in either)."""
+    order = np.lexsort((key, shard))
+    order = order[keep[order]]
+    place = np.zeros(len(key), np.int64)
+    place[order] = np.arange(len(order))
+    runs = np.bincount(context, minlength=len(key))[order]
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    return order, runs, np.argsort(place[context], kind="stable"), ends, np.append(0, np.cumsum(runs))[ends]
+
+
+def _low(keys: np.ndarray, size: int) -> bytes:
+    """The low bytes of keys."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _high(data, n: int, size: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, n * size, at).reshape(n, size)
+    return out.view("<u8").ravel()
+
+
+def _gaps(tops: np.ndarray) -> bytes:
+    """Sorted 16-bit numbers as two planes of their gaps, which pack well."""
+    return np.diff(tops, prepend=U(0)).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _tops(data, n: int, at: int) -> np.ndarray:
+    low, high = np.frombuffer(data, np.uint8, 2 * n, at).reshape(2, n).astype(U)
+    return np.cumsum(low | high << U(8), dtype=U)
+
+
 def _requests(block: Block, shards: int) -> Iterator[tuple[int, bytes]]:
-    """For each shard: its words with counts, and its contexts' successors with counts."""
+    """For each shard: its words with counts, its pairs, and the successors of both with counts."""
     count = np.bincount(block.tokens, minlength=len(block.hash))
-    pair, times = np.unique(block.pairs, return_counts=True)
-    left, right = pair // len(block.hash), pair % len(block.hash)
-    word_shard = (block.hash % U(shards)).astype(np.int64)
-    present, order, ends = _groups(word_shard)
-    by = np.argsort(word_shard[left], kind="stable")
-    pends = np.searchsorted(word_shard[left][by], np.append(present, shards))
-    key = successor_key(block.hash)[right]
-    for k, s in enumerate(present.tolist()):
-        w, p = order[ends[k] : ends[k + 1]], by[pends[k] : pends[k + 1]]
-        w = w[(count[w] > 0) | (w == 1)]
-        if not len(w):
-            continue
-        runs = np.bincount(np.searchsorted(np.sort(w), left[p]), minlength=len(w)) if len(p) else np.zeros(len(w), np.int64)
-        w = np.sort(w)
-        p = p[np.argsort(left[p], kind="stable")]
-        k5 = key[p].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        rest = zstandard.ZstdCompressor(level=1).compress(count[w].astype("<u4").tobytes() + runs.astype("<u4").tobytes() + times[p].astype("<u4").tobytes())
-        yield s, struct.pack("<II", len(w), len(p)) + block.hash[w].astype("<u8").tobytes() + k5.tobytes() + rest
-
-
-def _merge(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, counts, bigram keys, counts) of a shard; a bigram key is (context number, successor key)."""
-    words, counts, ctx, keys, times = [], [], [], [], []
+    seen = count > 0
+    seen[1] = True
+    key, last, pair = successor_key(block.hash)[block.right], last_key(block.hash)[block.last], pair_key(block.pair_hash)
+    follows = np.zeros(len(pair), bool)
+    follows[block.before] = True
+    w, wruns, b, wends, bends = _dealt(shards, (block.hash % U(shards)).astype(np.int64), block.hash, seen, block.left)
+    p, pruns, t, pends, tends = _dealt(shards, (block.pair_hash % U(shards)).astype(np.int64), pair, follows, block.before)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for s in np.flatnonzero((np.diff(wends) > 0) | (np.diff(pends) > 0)).tolist():
+        ws, bs, ps, ts = (slice(e[s], e[s + 1]) for e in (wends, bends, pends, tends))
+        counts = np.concatenate([count[w[ws]], wruns[ws], block.pair_times[b[bs]], pruns[ps], block.triple_times[t[ts]]])
+        h, k = block.hash[w[ws]], pair[p[ps]]
+        keys = _low(h, 6) + _low(key[b[bs]], 5) + _low(k, 3) + _low(last[t[ts]], 4)
+        yield s, struct.pack("<IIII", ws.stop - ws.start, bs.stop - bs.start, ps.stop - ps.start, ts.stop - ts.start) + keys + pack(_gaps(h >> U(48)) + _gaps(k >> U(KEY_BITS - 16)) + counts.astype("<u4").tobytes())
+
+
+def _merge(blobs: list[bytes]) -> tuple[tuple, tuple, np.ndarray]:
+    """For words and for pairs (context keys, context numbers, successor keys, counts) of a shard; then the words' counts."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(9)]
     for blob in blobs:
-        n, m = struct.unpack_from("<II", blob)
-        h = np.frombuffer(blob, "<u8", n, 8)
-        k5 = np.zeros((m, 8), np.uint8)
-        k5[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 8 + 8 * n).reshape(m, 5)
-        rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * n + 5 * m :]), "<u4")
-        words.append(h)
-        counts.append(rest[:n])
-        ctx.append(np.repeat(h, rest[n : 2 * n]))
-        keys.append(k5.view("<u8").ravel())
-        times.append(rest[2 * n :])
-    h, where = np.unique(np.concatenate(words), return_inverse=True)
-    c = np.bincount(where, np.concatenate(counts), len(h)).astype(np.int64)
-    full = (np.searchsorted(h, np.concatenate(ctx)).astype(U) << U(KEY_BITS)) | np.concatenate(keys)
-    pair, where = np.unique(full, return_inverse=True)
-    return h, c, pair, np.bincount(where, np.concatenate(times), len(pair)).astype(np.int64)
-
-
-def build_shard(shard: int, blobs: list[bytes], min_count: int = 2) -> bytes:
-    """The trie file of one shard."""
-    h, c, pair, times = _merge(blobs)
-    ctx = (pair >> U(KEY_BITS)).astype(np.int64)
+        n, m, k, t = struct.unpack_from("<IIII", blob)
+        at = np.cumsum([16, 6 * n, 5 * m, 3 * k, 4 * t]).tolist()
+        rest = zstandard.ZstdDecompressor().decompress(blob[at[4] :])
+        counts, runs, times, pruns, ptimes = np.split(np.frombuffer(rest, "<u4", offset=2 * (n + k)), np.cumsum([n, n, m, k]))
+        words = _high(blob, n, 6, at[0]) | _tops(rest, n, 0) << U(48)
+        pairs = _high(blob, k, 3, at[2]) | _tops(rest, k, 2 * n) << U(KEY_BITS - 16)
+        for part, v in zip(parts, (words, runs, _high(blob, m, 5, at[1]), times, pairs, pruns, _high(blob, t, 4, at[3]), ptimes, counts)):
+            part.append(v)
+    words, runs, key, times, pairs, pruns, last, ptimes, counts = map(np.concatenate, parts)
+    first, second = _level(words, runs, key, times, KEY_BITS), _level(pairs, pruns, last, ptimes, LAST_BITS)
+    return first, second, np.bincount(np.searchsorted(first[0], words), counts, len(first[0])).astype(np.int64)
+
+
+def _level(contexts: np.ndarray, runs: np.ndarray, key: np.ndarray, times: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    h = np.unique(contexts)
+    if len(h) >> (64 - bits):
+        raise ValueError("a shard is too large: lower shard_bytes")
+    full = (np.repeat(np.searchsorted(h, contexts), runs).astype(U) << U(bits)) | key
+    order = np.argsort(full)
+    full = full[order]
+    first = np.flatnonzero(np.append(True, full[1:] != full[:-1])[: len(full)])
+    times = np.add.reduceat(times[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return h, (full[first] >> U(bits)).astype(np.int64), full[first] & U((1 << bits) - 1), times
+
+
+def _pad(b: bytes) -> bytes:
+    return b + b"\0" * (-len(b) % 8)
+
+
+def _dump_level(h: np.ndarray, ctx: np.ndarray, key: np.ndarray, times: np.ndarray, bits: int) -> list[bytes]:
     total = np.bincount(ctx, times, len(h))
     n1, n2 = int((times == 1).sum()), int((times == 2).sum())
     d = min(0.95, max(0.1, n1 / max(n1 + 2 * n2, 1)))
-    keep = times >= min_count
-    share = (times[keep] - d) / total[ctx[keep]]
-    book, code = quantise(np.log10(share))
-    backoff = np.where(total > 0, 1 - np.bincount(ctx[keep], 10 ** book[code], len(h)) / 1.0, 1.0)
+    book, code = quantise(np.log10((times - d) / total[ctx]))
+    backoff = np.where(total > 0, 1 - np.bincount(ctx, 10 ** book[code], len(h)), 1.0)
     bbook, bcode = quantise(np.log10(np.clip(backoff, 1e-6, 1.0)))
-    span = np.bincount(ctx[keep], minlength=len(h)).astype(np.int64)
-    pointer = np.concatenate([[0], np.cumsum(span)])
-    kept = int(pointer[-1])
-    if kept >> (62 - KEY_BITS):
-        raise ValueError("a shard is too large: lower shard_bytes")
-    relative = relative_key(pair[keep] & U((1 << KEY_BITS) - 1), pointer[ctx[keep]], span[ctx[keep]])
-    level1, level2 = EliasFano.encode(h, 64), EliasFano.encode(relative, KEY_BITS + max(1, kept).bit_length())
-    width = max(1, kept).bit_length()
-    known = c > 0
-    parts = [MAGIC, struct.pack("<QQQQ", shard, int(c.sum()), int(known.sum()), len(h)), book.astype("<f8").tobytes(), bbook.astype("<f8").tobytes()]
-    pad = lambda b: b + b"\0" * (-len(b) % 8)
-    parts += [*level1.dump(), struct.pack("<Q", width), _pack(pointer.astype(U), width).astype("<u8").tobytes()]
-    parts += [pad(c.astype("<u4").tobytes() if c.max(initial=0) < 1 << 32 else b""), pad(bcode.tobytes()), *level2.dump(), pad(code.tobytes())]
-    return b"".join(parts)
+    place = level_key(ctx, key, len(key))
+    order = np.argsort(place)
+    places = EliasFano.encode(place[order], SURE_BITS + len(key).bit_length())
+    return [book.astype("<f8").tobytes(), bbook.astype("<f8").tobytes(), *EliasFano.encode(h, bits).dump(), _pad(bcode.tobytes()), *places.dump(), _pad(code[order].tobytes())]
+
+
+def build_shard(shard: int, blobs: list[bytes]) -> bytes:
+    """The trie file of one shard."""
+    words, pairs, c = _merge(blobs)
+    size = 4 if c.max(initial=0) < 1 << 32 else 8
+    head = [MAGIC, struct.pack("<QQQQQ", shard, int(c.sum()), int((c > 0).sum()), len(c), size), _pad(c.astype(f"<u{size}").tobytes())]
+    return b"".join([*head, *_dump_level(*words, 64), *_dump_level(*pairs, KEY_BITS)])
 
 
 # -- the mapped model ---------------------------------------------------------
@@ -303,29 +362,38 @@ class Shard:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if data[:8] != MAGIC:
             raise ValueError(f"{path} holds no trie")
-        self.number, self.tokens, self.types, n = struct.unpack_from("<QQQQ", data, 8)
-        at = 40
-        self.book, self.bbook = np.frombuffer(data, "<f8", 256, at), np.frombuffer(data, "<f8", 256, at + 2048)
-        self.level1, at = EliasFano.load(data, at + 4096)
-        (self.width,) = struct.unpack_from("<Q", data, at)
-        size = ((n + 1) * self.width + 63) // 64 + 2
-        self.pointer = np.frombuffer(data, "<u8", size, at + 8)
-        at += 8 + 8 * size
-        self.count = np.frombuffer(data, "<u4", n, at)
-        at += 4 * n + (-4 * n) % 8
-        self.bcode = np.frombuffer(data, np.uint8, n, at)
-        at += n + (-n) % 8
-        self.level2, at = EliasFano.load(data, at)
-        self.code = np.frombuffer(data, np.uint8, self.level2.n, at)
-
-
-    def successors(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Rank of each successor below its context (a rank in the first level), or -1."""
-        out = np.full(len(context), -1, np.int64)
-        a, b = (_unpack(self.pointer, context + k, self.width).astype(np.int64) for k in (0, 1))
-        at = np.flatnonzero(b > a)
-        r = self.level2.find(relative_key(key[at], a[at], b[at] - a[at]))
-        out[at] = np.where((r >= a[at]) & (r < b[at]), r, -1)
+        self.number, self.tokens, self.types, n, size = struct.unpack_from("<QQQQQ", data, 8)
+        self.count = np.frombuffer(data, f"<u{size}", n, 48)
+        self.words, at = Level.load(data, 48 + size * n + -(size * n) % 8)
+        self.pairs, at = Level.load(data, at)
+
+
+class Level:
+    """The contexts of one order and their successors."""
+
+    @classmethod
+    def load(cls, data, at: int) -> tuple[Level, int]:
+        s = cls()
+        s.book, s.bbook = np.frombuffer(data, "<f8", 256, at), np.frombuffer(data, "<f8", 256, at + 2048)
+        s.contexts, at = EliasFano.load(data, at + 4096)
+        n = s.contexts.n
+        s.bcode = np.frombuffer(data, np.uint8, n, at)
+        s.successors, at = EliasFano.load(data, at + n + (-n) % 8)
+        n = s.successors.n
+        s.code = np.frombuffer(data, np.uint8, n, at)
+        return s, at + n + (-n) % 8
+
+    def share(self, rank: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Discounted probability of each successor below its context's rank, 0 for one not seen."""
+        out = np.zeros(len(rank))
+        at = np.flatnonzero(rank >= 0)
+        r = self.successors.find(level_key(rank[at], key[at], self.successors.n))
+        out[at[r >= 0]] = (10**self.book)[self.code[r[r >= 0]]]
+        return out
+
+    def backoff(self, rank: np.ndarray) -> np.ndarray:
+        out = np.ones(len(rank))
+        out[rank >= 0] = (10**self.bbook)[self.bcode[rank[rank >= 0]]]
         return out
 
 
@@ -338,39 +406,38 @@ class Model:
         got = [s for s in self.shards if s]
         self.tokens, self.types = sum(s.tokens for s in got), sum(s.types for s in got)
 
+    def _look_up(self, level: str, hashes: np.ndarray, contexts: np.ndarray, of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank in its shard or -1, backoff weight) of each context, and the share of each successor key below context number ``of``."""
+        shard = (hashes % U(len(self.shards))).astype(np.int64)
+        rank, back, share = np.full(len(hashes), -1, np.int64), np.ones(len(hashes)), np.zeros(len(of))
+        present, order, ends = _groups(shard)
+        by = np.argsort(shard[of], kind="stable")
+        gends = np.searchsorted(shard[of][by], np.append(present, len(self.shards)))
+        for k, a, b, c, d in zip(present.tolist(), ends[:-1], ends[1:], gends[:-1], gends[1:]):
+            if self.shards[k] is None:
+                continue
+            s, at, g = getattr(self.shards[k], level), order[a:b], by[c:d]
+            rank[at] = s.contexts.find(contexts[at])
+            back[at] = s.backoff(rank[at])
+            share[g] = s.share(rank[of[g]], key[g])
+        return rank, back, share
+
     def score(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each document in the block."""
-        n = len(block.hash)
-        shard = (block.hash % U(len(self.shards))).astype(np.int64)
-        count, rank, back = np.zeros(n), np.full(n, -1, np.int64), np.ones(n)
-        present, order, ends = _groups(shard)
+        rank, back, share = self._look_up("words", block.hash, block.hash, block.left, successor_key(block.hash)[block.right])
+        count = np.zeros(len(rank))
+        present, order, ends = _groups((block.hash % U(len(self.shards))).astype(np.int64))
         for k, a, b in zip(present.tolist(), ends[:-1], ends[1:]):
-            s, at = self.shards[k], order[a:b]
-            if s is None:
-                continue
-            r = s.level1.find(block.hash[at])
-            ok = r >= 0
-            rank[at] = r
-            count[at[ok]] = s.count[r[ok]]
-            back[at[ok]] = 10 ** s.bbook[s.bcode[r[ok]]]
+            at = order[a:b][rank[order[a:b]] >= 0]
+            if len(at):
+                count[at] = self.shards[k].count[rank[at]]
         p1 = (count + 1) / (self.tokens + self.types + 1)
-        pair, where = np.unique(block.pairs, return_inverse=True)
-        left, right = pair // n, pair % n
-        alpha = np.zeros(len(pair))
-        key = successor_key(block.hash)
-        present, by, ends = _groups(shard[left])
-        for k, a, b in zip(present.tolist(), ends[:-1], ends[1:]):
-            s, at = self.shards[k], by[a:b]
-            at = at[rank[left[at]] >= 0]
-            if s is None or not len(at):
-                continue
-            r = s.successors(rank[left[at]], key[right[at]])
-            ok = r >= 0
-            alpha[at[ok]] = 10 ** s.book[s.code[r[ok]]]
-        logp = np.log10(alpha + back[left] * p1[right])
+        p = (share + back[block.left] * p1[block.right])[block.pair_of]
+        _, back, share = self._look_up("pairs", block.pair_hash, pair_key(block.pair_hash), block.before, last_key(block.hash)[block.last])
+        p[block.inner] = share[block.triple_of] + back[block.pair_of[block.inner - 1]] * p[block.inner]
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
         total = lambda v: np.bincount(doc, v, len(block.sizes))
-        return total(count[block.tokens] > 0).astype(np.int64), total(np.log10(p1)[block.tokens]), total(logp[where.ravel()])
+        return total(count[block.tokens] > 0).astype(np.int64), total(np.log10(p1)[block.tokens]), total(np.log10(p))
 
 
 _MODELS: dict[str, Model] = {}
@@ -383,7 +450,7 @@ def _model(root: str, files: list[str], shards: int, local: bool) -> Model:
     return _MODELS[root]
 
 
-def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20, min_count: int = 2) -> tuple[str, int]:
+def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20) -> tuple[str, int]:
     """Count docs and write the trie files; returns their folder and the number of shards."""
     spark = docs.sparkSession
     ship(spark)
@@ -404,7 +471,7 @@ def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
                 now = s
                 blobs.append(blob)
         if blobs:
-            yield pa.RecordBatch.from_arrays([pa.array([build_shard(now, blobs, min_count)], pa.binary())], names=["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([build_shard(now, blobs)], pa.binary())], names=["blob"])
 
     return scratch.blobs(src.mapInArrow(count, "shard int, blob binary").repartitionById(n, F.col("shard")).mapInArrow(write, "blob binary"), "trie"), n
 

@@ -273,6 +273,56 @@ def test_language_model(spark, sf):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_language_model_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    train = docs.filter("doc_id % 3 <> 0")
+    folder, n = ngram_lm.train(train, Scratch(spark, "t"), shard_bytes=1 << 40)
+    assert n == 1
+    words = lambda t: [b"^", *(t or "").encode().lower().split(), None]
+    c = [Counter(), Counter(), Counter()]
+    for r in train.collect():
+        w = words(r.text)
+        for k in range(3):
+            c[k].update(zip(*(w[i:] for i in range(k + 1))))
+    unigrams = Counter({k: v for k, v in c[0].items() if k != (b"^",)})
+    total, types = sum(unigrams.values()), len(unigrams)
+    below, successors, d = [Counter(), Counter()], [Counter(), Counter()], []
+    for k in (1, 2):
+        n1, n2 = (sum(v == x for v in c[k].values()) for x in (1, 2))
+        d.append(min(0.95, max(0.1, n1 / (n1 + 2 * n2))))
+        for g, v in c[k].items():
+            below[k - 1][g[:-1]] += v
+            successors[k - 1][g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (unigrams[g] + 1) / (total + types + 1)
+        k, h = len(g) - 2, g[:-1]
+        if not below[k][h]:
+            return p(g[1:])
+        return (max(c[k + 1][g] - d[k], 0) + d[k] * successors[k][h] * p(g[1:])) / below[k][h]
+
+    got = {r.doc_id: r for r in ngram_lm.score(docs, folder, n).collect()}
+    for r in docs.collect():
+        w = words(r.text)
+        want = [math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w))]
+        assert abs(got[r.doc_id].score - sum(want)) < 0.02 * len(want)
+
+
+def test_language_model_keeps_every_ngram(spark):
+    texts = [b"a b c", b"a b d", b"x a b c", None]
+    block = ngram_lm.Block(texts)
+    shards = 3
+    assert len(block.left) == 9 and len(block.before) == 7
+    kept = [0, 0]
+    for s, blob in ngram_lm._requests(block, shards):
+        words, pairs, counts = ngram_lm._merge([blob, blob])
+        kept[0] += len(words[2])
+        kept[1] += len(pairs[2])
+        assert (words[3] % 2 == 0).all() and (pairs[3] % 2 == 0).all() and (counts % 2 == 0).all()
+    assert kept == [9, 7]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
