@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,22 +69,23 @@ def _urn(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def records(key: int | None, uri: str, payload: bytes, refers_to: int | None, segment: int) -> Iterator[bytes]:
-    """The records of one payload."""
+def records(key: int | None, uri: str, payload: bytes, refers_to: int | None, segment: int, name: str | None = None, target: str | None = None) -> Iterator[bytes]:
+    """The records of one payload; its record id is made from name (or the key), that of a revisit's response from target."""
+    name = str(key) if name is None else name
     digest = hashlib.sha1(payload).hexdigest()
     base = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("X-Key", "" if key is None else str(key)), ("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", _urn(f"{key}/0")), *base, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(f"{refers_to}/0")), ("X-Refers-To-Key", str(refers_to)), ("X-Payload-Length", str(len(payload)))], b"HTTP/1.1 200 OK\r\n\r\n")
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", _urn(f"{name}/0")), *base, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *([] if target is None else [("WARC-Refers-To", _urn(f"{target}/0"))]), ("X-Refers-To-Key", str(refers_to)), ("X-Payload-Length", str(len(payload)))], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     for k, part in enumerate(parts):
         seg = [] if len(parts) == 1 else [("WARC-Segment-Number", str(k + 1))]
         if k:
-            seg.append(("WARC-Segment-Origin-ID", _urn(f"{key}/0")))
+            seg.append(("WARC-Segment-Origin-ID", _urn(f"{name}/0")))
         if k and k == len(parts) - 1:
             seg.append(("WARC-Segment-Total-Length", str(len(block))))
-        yield record([("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", _urn(f"{key}/{k}")), *base, *seg], part)
+        yield record([("WARC-Type", "continuation" if k else "response"), ("WARC-Record-ID", _urn(f"{name}/{k}")), *base, *seg], part)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -118,25 +120,34 @@ def write(pages: DataFrame, scratch: Scratch, key_col: str = "page_id", uri_col:
     join of narrow rows, so a payload that a third of the rows share moves no text.
     A null payload is empty; null keys never become a revisit's target or a revisit;
     repeated keys with one payload stay one response and are written each; an empty
-    table writes no record.
+    table writes no record. Each written row has a record id of its own, from its task
+    and place there; a response that is revisited has one from its key and digest, so
+    that WARC-Refers-To can name it. Where several rows could be that response (its key
+    and payload are repeated), revisits give its key only.
     """
     spark = pages.sparkSession
     ship(spark)
     src = pages.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(uri_col).cast("string"), F.lit("")).alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     narrow = scratch.table(src.filter(F.length("payload") >= least).filter("key is not null").select("key", F.sha1("payload").alias("digest"), F.length("payload").alias("n")), "digests")
-    heads = narrow.groupBy("digest", "n").agg(F.max("key").alias("refers_to"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    revisits = scratch.table(narrow.join(heads, ["digest", "n"]).filter("key <> refers_to").groupBy("key", "digest").agg(F.max("refers_to").alias("refers_to")), "revisits")
+    times = narrow.groupBy("digest", "n", "key").agg(F.count("*").alias("times"))
+    heads = times.groupBy("digest", "n").agg(F.max(F.struct("key", "times")).alias("head"), F.sum("times").alias("all")).filter("all > 1")
+    heads = heads.select("digest", "n", F.col("head.key").alias("refers_to"), (F.col("head.times") == 1).alias("alone"))
+    revisits = scratch.table(times.join(heads, ["digest", "n"]).filter("key <> refers_to or alone").select("key", "digest", "n", "refers_to", "alone"), "revisits")
     parts = slices(spark, pages, archive_bytes)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                key, uri, payload, refers_to = row
+            for key, uri, payload, digest, refers_to, alone in zip(*(b.column(i).to_pylist() for i in range(6))):
+                target = f"{refers_to}/{digest}" if alone else None
+                name, count = f"{key}/{task}/{count}", count + 1
+                if refers_to is not None and refers_to == key:
+                    name, refers_to, target = target, None, None
                 uri = uri.replace("\r", "").replace("\n", "")
-                yield pa.RecordBatch.from_arrays([pa.array(list(records(key, uri, payload, refers_to, segment)), pa.binary())], names=["record"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(records(key, uri, payload, refers_to, segment, name, target)), pa.binary())], names=["record"])
 
     # keys may be repeated with other payloads: the digest joins too
-    dealt = src.withColumn("digest", F.sha1("payload")).join(revisits, ["key", "digest"], "left").select("key", "uri", "payload", "refers_to")
+    dealt = src.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload")).join(revisits, ["key", "digest", "n"], "left").select("key", "uri", "payload", "digest", "refers_to", "alone")
     path = f"{scratch.path}/archives"
     dealt.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
     return path
@@ -190,7 +201,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, schema)
     whole = rows.filter("origin is null").select("key", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest", F.col("block").alias("payload"))
-    cut = rows.filter("origin is not null").groupBy("origin", "payload_digest").agg(F.first("key").alias("key"), F.first("uri").alias("uri"), F.collect_list(F.struct("number", "total", "block")).alias("segments"))
+    cut = rows.filter("origin is not null").groupBy("origin").agg(F.first("key").alias("key"), F.first("uri").alias("uri"), F.collect_list(F.struct("number", "total", "block")).alias("segments"))
     joined = cut.select("key", "uri", "segments").mapInArrow(join, "key long, uri string, payload binary, payload_digest string")
     joined = joined.select("key", "uri", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "payload")
     return whole.unionByName(joined)

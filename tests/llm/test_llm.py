@@ -171,6 +171,23 @@ def test_warc_round_trip(spark):
             assert bytes(got[k].payload) == (h or "").encode()
 
 
+def test_warc_repeated_and_null_keys(spark):
+    a, b, c = "a" * 40_000, "b" * 40_000, "c" * 40_000
+    rows = [(1, "u1", a)] * 3 + [(1, "other", a), (1, "u1", b), (2, "u2", c), (3, "u3", c), (4, "u4", a)] + [(None, f"n{i % 4}", a) for i in range(6)] + [(5, "u5", b + b), (5, "u5", b + b), (2, "u6", b + b)]
+    s = Scratch(spark, "t")
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), s, segment=4096)
+    got = warc.read(spark, path).collect()
+    assert Counter((r.key, r.uri, r.payload_digest) for r in got) == Counter((k, u, hashlib.sha1(h.encode()).hexdigest()) for k, u, h in rows)
+    assert Counter((r.key, r.refers_to) for r in got if r.record_type == "revisit") == {(1, 4): 4, (2, 3): 1, (2, 5): 1}
+    assert all(bytes(r.payload) in (a.encode(), b.encode(), c.encode(), (b + b).encode()) for r in got if r.record_type == "response")
+    fields = [f for x in spark.read.format("binaryFile").load(path).collect() for f, _ in warc.parse(gzip.GzipFile(fileobj=_io.BytesIO(x.content)))]
+    ids = Counter(f["warc-record-id"] for f in fields)
+    assert max(ids.values()) == 1
+    heads = {f["warc-record-id"]: f["x-key"] for f in fields if f["warc-type"] == "response"}
+    assert all(heads[f["warc-refers-to"]] == f["x-refers-to-key"] for f in fields if "warc-refers-to" in f)
+    assert Counter(f["x-refers-to-key"] for f in fields if "warc-refers-to" in f) == {"4": 4, "3": 1}
+
+
 def test_warc_frames():
     data = bytes(range(256)) * 50
     parts = [(f["warc-segment-number"] if "warc-segment-number" in f else None, f.get("warc-segment-total-length"), b) for f, b in warc.parse(_io.BytesIO(b"".join(r + b"\r\n" for r in warc.records(1, "u", data, None, 1000))))]
