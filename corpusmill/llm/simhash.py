@@ -9,7 +9,9 @@ table's whole key, with certainty rather than with a probability.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from corpusmill.llm.components import components, forest
 from corpusmill.runtime import Scratch, ship
 
 SEED = 42
+#: A bucket with so many free bits is never split, as it has at most 2**FREE members.
+FREE = 16
 
 
 def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = SEED) -> int:
@@ -55,9 +59,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache
+def spread(n: int, radius: int) -> tuple[int, ...]:
+    """phi of n positions: each non-zero v has an odd product with about half of them.
+
+    Where there are fewer positions than values, the best of some choices is taken: the
+    values with the top bit (for 64 positions and radius 6, every v then keys 32 bits or
+    all), and seeded samples.
+    """
+    most = 2 ** (radius + 1) - 1
+    if n >= most:
+        return tuple(i % most + 1 for i in range(n))
+    rng = random.Random(n)
+    choices = [rng.sample(range(1, most + 1), n) for _ in range(400)]
+    if n <= 1 << radius:
+        choices.append([(1 << radius) + i for i in range(n)])
+    v = np.arange(1, most + 1)[:, None]
+    return tuple(max(choices, key=lambda c: int((np.bitwise_count(np.array(c, dtype=np.int64) & v) % 2).sum(axis=1).min()) if n else 0))
+
+
 def covering_masks(positions: list[int], radius: int) -> list[tuple[int, list[int]]]:
     """For each table: the mask of its key bits, and the positions left free."""
-    phi = {p: i % (2 ** (radius + 1) - 1) + 1 for i, p in enumerate(positions)}
+    phi = dict(zip(positions, spread(len(positions), radius)))
     out = []
     for v in range(1, 2 ** (radius + 1)):
         keyed = [p for p in positions if (phi[p] & v).bit_count() % 2]
@@ -74,6 +97,15 @@ def _masks(masks: list[tuple[int, list[int]]]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(m)).alias("m")) for t, (m, _) in enumerate(masks)])).alias("k")
 
 
+def _finer(masks: list[int], radius: int) -> list[tuple[int, int]]:
+    """(mask, mask that keys more bits) for all covering masks over each mask's free bits."""
+    out = set()
+    for m in masks:
+        free = [p for p in range(64) if not m >> p & 1]
+        out |= {(m, _signed(m & (1 << 64) - 1 | finer)) for finer, _ in covering_masks(free, radius)}
+    return sorted(out)
+
+
 def _bucket(table: str, mask: str) -> Column:
     """A fingerprint's bucket as one number; two buckets that share it are merely compared as one."""
     return F.xxhash64(F.col(table), F.col("fp").bitwiseAND(F.col(mask))).alias("h")
@@ -122,10 +154,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     component_id is the smallest doc_id reachable by links. Equal fingerprints are
     collapsed first (combined map-side), so copies cost one row. Buckets of more
     than ``bucket`` distinct fingerprints are keyed anew by covering masks over their
-    free bits; by construction a second-level bucket has at most 2**12 distinct
-    members for radius 2 and 2**16 for radius 6, so no task ever holds an unbounded
-    group and none is cut. The mask table has (2**(radius+1)-1)**2 rows at most, so
-    its broadcast is bounded.
+    free bits, again and again until they are small or have at most 16 free bits, so no
+    task ever holds more than the larger of ``bucket`` and 2**16 distinct members of a
+    bucket and none is cut. Only masks of buckets that are too large get new ones, and
+    only those are broadcast.
 
     Null or empty texts have fingerprint 0 and are linked like any other; rows with a
     null doc_id follow their fingerprint's group (null if all its ids are null);
@@ -140,12 +172,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keys = classes.filter("rep is not null").select("fp", _masks(first)).select("fp", _bucket("k.t", "k.m"))
     sizes = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     shared = scratch.table(keys.join(sizes, "h"), "shared")
-    cold = shared.filter(F.col("n") <= bucket).select("fp", "h")
-    hot = shared.filter(F.col("n") > bucket).select("fp", F.col("h").alias("h1"), _masks(first)).filter(_bucket("k.t", "k.m") == F.col("h1"))
-    second = [(t, m | m2) for t, (m, free) in enumerate(first) for m2, _ in covering_masks(free, radius)]
-    masks = spark.createDataFrame([(len(first) + i, t, _signed(m)) for i, (t, m) in enumerate(second)], "t int, of int, m long")
-    again = hot.join(F.broadcast(masks), F.col("k.t") == masks["of"]).select("fp", _bucket("t", "m"))
-    groups = cold.union(again).groupBy("h").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+    small = [shared.filter(F.col("n") <= bucket).select("fp", "h")]
+    hot = shared.filter(F.col("n") > bucket).select("fp", F.col("h").alias("h1"), _masks(first)).filter(_bucket("k.t", "k.m") == F.col("h1")).select("fp", F.col("k.m").alias("of"))
+    while True:
+        hot = scratch.table(hot, f"hot{len(small)}")
+        large = [row["of"] for row in hot.select("of").distinct().collect()]
+        if not large:
+            break
+        masks = spark.createDataFrame(_finer(large, radius), "of long, m long")
+        again = hot.join(F.broadcast(masks), "of").select("fp", "m").distinct().select("fp", "m", _bucket("m", "m"))
+        again = scratch.table(again.join(again.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h"), f"shared{len(small)}")
+        done = (F.col("n") <= bucket) | (F.bit_count("m") >= 64 - FREE)
+        small.append(again.filter(done).select("fp", "h"))
+        hot = again.filter(~done).select("fp", F.col("m").alias("of"))
+    groups = reduce(DataFrame.union, small).groupBy("h").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
     comps = components(groups.mapInArrow(_bucket_links(radius), "a long, b long"), scratch, contracted=True)
     named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))

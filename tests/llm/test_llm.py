@@ -82,6 +82,35 @@ def test_covering_masks_catch_every_pair():
             assert any(not diff & m for m in masks)
 
 
+def test_covering_masks_of_radius_6_key_enough():
+    rng = random.Random(9)
+    masks = simhash.covering_masks(list(range(64)), 6)
+    assert min(m.bit_count() for m, _ in masks) >= 32
+    assert all(len(free) <= 32 for _, free in masks)
+    assert min(finer.bit_count() for m, free in masks if free for finer, _ in simhash.covering_masks(free, 6)) >= 8
+    for positions, covering in ((list(range(64)), masks), (masks[5][1], simhash.covering_masks(masks[5][1], 6))):
+        for _ in range(500):
+            diff = sum(1 << b for b in rng.sample(positions, 6))
+            assert any(not diff & m for m, _ in covering)
+
+
+def test_simhash_splits_buckets_of_radius_6(spark):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"v{rng.random()}"
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(base) for _ in range(50)) for _ in range(100)]
+    fps = [fingerprint(t) for t in texts]
+    low = union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 6])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs, radius=6, bucket=16).collect()}
+    assert got == dict(enumerate(low))
+
+
 def test_simhash_edge(spark, edge):
     got = simhash.near_duplicate_groups(edge).collect()
     assert len(got) == len(EDGE) and {r.component_id for r in got if r.doc_id in (1, 2)} == {1}
