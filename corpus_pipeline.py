@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm import bpe, decontaminate, langid, simhash, toxicity
 from corpusmill.runtime import Scratch
 
+#: Toxic from this score on: the operator's own threshold, at which recall and false positives are measured.
+TOXIC = 0.3
 #: A document's language is undetermined below this winning probability.
 MIN_LANGUAGE_SCORE = 0.25
 #: Fingerprints that differ in at most so many of 64 bits are near copies.
@@ -30,9 +32,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the toxicity models, fitted on the labelled ones, score at 0.4 or more."""
+    """Drops documents that the toxicity models, fitted on the labelled ones, score at TOXIC or more."""
     model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model, threshold=0.4).filter("predicted = 1"))
+    return _without(docs, toxicity.score(docs, model, threshold=TOXIC).filter("predicted = 1"))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

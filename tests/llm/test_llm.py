@@ -369,6 +369,17 @@ def test_language_model_keeps_every_ngram(spark):
     assert kept == [9, 7]
 
 
+def test_pipeline_drops_what_the_operator_calls_toxic(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert any(0.3 <= x < 0.4 for x in scores.values())
+    kept = {r.doc_id for r in corpus_pipeline.keep_civil(spark, docs, folder).select("doc_id").collect()}
+    assert kept == {i for i, x in scores.items() if x < 0.3}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
