@@ -1,7 +1,7 @@
 """A corpus pipeline over documents: each stage works on all that the one before kept.
 
 Toxic documents go, then those whose language stays undetermined; of each group of
-near copies the document with the smallest id stays; documents that hold a benchmark
+near copies the row with the smallest id stays, once; documents that hold a benchmark
 passage go; the rest are encoded to token ids.
 """
 
@@ -44,11 +44,16 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, once."""
-    groups = simhash.near_duplicate_groups(docs, radius=RADIUS, words_per_shingle=3)
-    kept = groups.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    same = docs.join(kept.filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return same.unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each group of near copies: the smallest doc_id, null last, and of its texts that with the smallest hash.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, are
+    grouped by their texts like any other.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    groups = simhash.near_duplicate_groups(keyed, id_col="_row", radius=RADIUS, words_per_shingle=3).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row")))
+    kept = keyed.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -380,6 +380,19 @@ def test_pipeline_drops_what_the_operator_calls_toxic(spark):
     assert kept == {i for i, x in scores.items() if x < 0.3}
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (None, c), (None, c), (None, c + " end"), (3, d), (None, d), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, sf).collect()]
+    fps = {t: fingerprint(t) for t in (b, b + " end", c, c + " end")}
+    assert (fps[b] ^ fps[b + " end"]).bit_count() <= 6 and (fps[c] ^ fps[c + " end"]).bit_count() <= 6
+    assert len(got) == 5 and {(1, a), (1, b), (3, d), (4, None)} <= set(got)
+    assert [t in (c, c + " end") for i, t in got if i is None] == [True]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
