@@ -6,8 +6,9 @@ members is dealt to the nearest of its pivots, again and again, and every cell k
 its centre and covering radius. A traversal over pairs of cells, level by level, drops
 a pair when its centres are farther apart than both covering radii and the radius.
 What is left are pairs of bounded cells; each is finished in one task by a cover tree
-of nested levels with halving radii and a dual traversal with the same bound, where a
-pair of nodes that lies wholly within the radius is counted without being expanded.
+of nested levels with halving radii and a dual traversal with the same bound. Pairs of
+nodes wholly within the radius are expanded too: a group of N near but unequal vectors
+has all its pairs enumerated, so its work grows with the square of N.
 """
 
 from __future__ import annotations
