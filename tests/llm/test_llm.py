@@ -269,17 +269,111 @@ def test_alignment():
         assert decontaminate.align(a, b)[0] == smith_waterman(a.tolist(), b.tolist())
 
 
+def toxic_rows(n=120, seed=11):
+    """Texts of 30 words out of 40, toxic ones with a telling word or two; half of the rows each."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        w = [f"w{min(int(rng.expovariate(0.1)), 39)}" for _ in range(30)]
+        if i % 2:
+            w[3:5] = ["you", rng.choice(["fool", "scum"])]
+        elif i % 3 == 0:
+            w[7] = "you"
+        out.append((" ".join(w), i % 2))
+    return out
+
+
+class BruteKneserNey:
+    """The formulas of the module's docstring over dictionaries."""
+
+    def __init__(self, rows, discount=0.75, z=4.0):
+        n = Counter(y for _, y in rows)
+        self.v = len({w for t, _ in rows for w in t.split()})
+        grams = lambda t: [(t.split(),), (list(zip(t.split(), t.split()[1:])),)]
+        c, df = [[Counter(), Counter()] for _ in range(2)], [[Counter(), Counter()] for _ in range(2)]
+        for t, y in rows:
+            for k, (g,) in enumerate(grams(t)):
+                c[k][y].update(g)
+                df[k][y].update(set(g))
+
+        def kept(k, y, g):
+            a, b = df[k][0][g], df[k][1][g]
+            p = (a + b) / len(rows)
+            error = math.sqrt(p * max(1 - p, 1e-9) * (1 / n[0] + 1 / n[1]))
+            return max(c[k][y][g] - discount, 0) if abs(b / n[1] - a / n[0]) >= z * error and a + b >= 4 else 0
+
+        self.c = c
+        self.kept = [[{g: kept(k, y, g) for g in {*c[k][0], *c[k][1]}} for y in (0, 1)] for k in (0, 1)]
+        self.follows = Counter(w for _, w in {*c[1][0], *c[1][1]})
+        self.contexts = len({*c[1][0], *c[1][1]})
+
+    def p(self, y, h, w):
+        n, kept = sum(self.c[0][y].values()), self.kept[0][y]
+        one = (kept.get(w, 0) + (n - sum(kept.values())) * (self.follows[w] + 1) / (self.contexts + self.v + 1)) / n
+        after = {g: k for g, k in self.c[1][y].items() if g[0] == h}
+        total = sum(after.values())
+        if not total:
+            return one
+        kept = self.kept[1][y]
+        return (kept.get((h, w), 0) + (total - sum(kept[g] for g in after)) * one) / total
+
+
+def test_toxicity_models_are_kneser_ney():
+    rows = toxic_rows()
+    sample = toxicity.Sample(rows)
+    model = toxicity.KneserNey(sample, np.ones(len(sample.coded), bool), 0.75, 4.0)
+    brute = BruteKneserNey(rows)
+    number = {w.decode(): i for i, w in enumerate(sample.names)}
+    assert {"fool", "scum"} <= {w for w, i in number.items() if model.telling[i]} and model.telling_pairs.any() and not model.telling.all()
+    every = np.arange(-1, len(number))
+    for c in (0, 1):
+        for h in every:
+            p = model.bigram(c, np.full(len(every), h), every)
+            assert abs(p.sum() - 1) < 1e-9
+            if h % 5 == 0 or h < 0:
+                word = sample.names[h].decode() if h >= 0 else "unseen"
+                assert all(abs(p[i + 1] - brute.p(c, word, w)) < 1e-12 for w, i in number.items())
+    scorer = toxicity.ToxicityModel()
+    code = scorer._lay_out(model)
+    for text, _ in [*toxic_rows(20, 12), ("unseen you fool unseen scum you scum", 1)]:
+        w = text.split()
+        want = [math.log(brute.p(1, h, x) / brute.p(0, h, x)) for h, x in zip(["unseen", *w], w)]
+        assert np.allclose(scorer.differences(scorer.coder.codes(text)), want)
+        at = np.array([number.get(x, -1) for x in w])
+        assert np.allclose(model.log_likelihood(1, at) - model.log_likelihood(0, at), want)
+    assert (code[[number["fool"], number["scum"]]] > 0).all()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     model = toxicity.fit(docs, labels.filter(fold != 2))
     got = toxicity.score(docs.filter(fold == 2), model).join(labels, "doc_id").select("predicted", "toxic").collect()
     n = Counter((r.predicted, r.toxic) for r in got)
-    assert n[1, 1] / (n[1, 1] + n[0, 1]) > 0.9 and n[0, 0] / (n[0, 0] + n[1, 0]) > 0.97
+    assert n[1, 1] / (n[1, 1] + n[0, 1]) > 0.91 and n[0, 0] / (n[0, 0] + n[1, 0]) > 0.98
     assert model.score(None) < 0.3 and model.score("") < 0.3
     assert toxicity.ToxicityModel().fit([], 0.0).score("text") < 0.3
 
 
+def test_toxicity_edge(spark, edge):
+    rows = [(i, t, "x") for i, (t, _) in enumerate(toxic_rows())]
+    docs = spark.createDataFrame([*rows, *rows[:3], (5, "another text of id 5", "x"), (None, "no id", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(toxic_rows())] + [(0, 0), (1, 1), (7, None), (999, 1), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    same = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert model.weights.tolist() == same.weights.tolist() and model.coder.ids == same.coder.ids
+    long = "w1 w2 w3 " * 300_000
+    extra = spark.createDataFrame([(4, long, "x"), (5, long + "you fool " * 30, "x")], "doc_id long, text string, score string")
+    got = toxicity.score(edge.select("doc_id", "text", F.lit("clash").alias("score")).unionByName(extra), model)
+    assert got.columns == ["doc_id", "score", "predicted"]
+    by = sorted((r.doc_id or 0, r.score) for r in got.collect())
+    assert len(by) == len(EDGE) + 2 and all(0 <= s <= 1 for _, s in by)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.score(docs, toxicity.fit(docs.limit(0), labels.limit(0))).filter("predicted = 1").count() == 0
+    few = toxicity.fit(docs, labels, max_docs=20)
+    assert few.score("you fool") >= 0
+
+
 def test_language_held_out(spark, edge):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
