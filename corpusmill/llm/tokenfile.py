@@ -8,14 +8,17 @@ ascending doc_id order, so a short document is read by one seek and one small fr
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,70 +30,66 @@ MAGIC = b"CMTOKEN1"
 _HEAD = struct.Struct("<8sQ32sQ")
 INDEX = np.dtype([("doc_id", "<i8"), ("n_tokens", "<u8"), ("offset", "<u8")])
 NO_ID = -(1 << 63)
+#: Set in the index beside the token count of a document without an id.
+_NULL = 1 << 63
 
-#: A chunk starts where a non-space is followed by a space or line feed; no pre-token of the byte-level split spans that.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile("[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: What the byte-level split never spans: the end of a run of letters before ASCII punctuation or a space, the end of
+#: closing punctuation, and any place where a non-space is followed by a space or line feed. A leading apostrophe may
+#: open a contraction, so it stays with what follows.
+_LETTERS, _MARKS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-/:-@\[-`{-~"
+_CHUNK = re.compile(rf" ?[{_LETTERS}]+(?=[ \n{_MARKS}]|\Z)| ?(?!')[{_MARKS}]+(?=[ \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
+#: For texts with other white space, after which nothing is cut: libraries differ in what counts as such.
+_ANY_CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class ChunkEncoder:
-    """The tokenizers library over whole texts, each distinct chunk encoded once.
+    """The tokenizers library over whole texts, each distinct chunk encoded once as long as it is remembered.
 
-    Texts with other white space than spaces and line feeds are encoded in one piece.
+    Chunks are kept in two generations of about ``keep`` bytes each: when the younger is full
+    it becomes the older, whose entries are taken over as they are met. A text that holds
+    one of the vocabulary's added tokens is encoded in one piece.
     """
 
-    def __init__(self, definition: str, keep: int = 600_000):
+    def __init__(self, definition: str, keep: int = 32 << 20):
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.keep = Tokenizer.from_str(definition), {}, keep
-        self.tok.encode_special_tokens = True
+        self.tok, self.young, self.old, self.size, self.keep = Tokenizer.from_str(definition), {}, {}, 0, keep
+        self.tok.model._resize_cache(0)  # what reaches the library is new each time
         vocab = self.tok.get_vocab()  # byte-level: a token has one character for each byte
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         self.width[list(vocab.values())] = [len(k) for k in vocab]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
         """Encode new chunks. Those that start with space and end without keep their seams when
         they stand one behind the other, so they are encoded in long runs and cut by byte length."""
-        runs, run, size = [], [], 0
-        for c in chunks:
-            if c[0] in " \n" and c[-1] not in " \n":
-                run.append(c)
-                size += len(c)
-                if size > 20_000:
-                    runs.append(run)
-                    run, size = [], 0
-        alone = [c for c in chunks if c[0] not in " \n" or c[-1] in " \n"]
-        runs += [run] * bool(run) + [[c] for c in alone]
-        for run, e in zip(runs, self.tok.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False)):
+        runs = [c for c in chunks if c[0] in " \n" and not c[-1].isspace()]
+        runs = [runs[i : i + 500] for i in range(0, len(runs), 500)]
+        runs += [[c] for c in chunks if c[0] not in " \n" or c[-1].isspace()]
+        for run, e in zip(runs, self.tok.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in run]), side="left") + 1
-            raw, a = ids.tobytes(), 0
-            for c, b in zip(run, (4 * ends).tolist()):
-                self.cache[c] = raw[a:b]
-                a = b
+            sizes = np.fromiter(map(len, map(str.encode, run)), np.int64, len(run))
+            ends = (4 * np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), side="left") + 4).tolist()
+            raw = ids.tobytes()
+            into.update(zip(run, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.raws([text])[0]
 
     def raws(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        parts = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        if new := {c for p in parts if p for c in p if c not in cache}:
-            if len(cache) > self.keep:
-                cache.clear()
-                new = {c for p in parts if p for c in p}
-            # a word and its closing punctuation are separate pre-tokens: learn each once
-            halves = {}
-            for c in new:
-                core = c.rstrip(".,!?;:")
-                if core and core != c and core[-1].isalpha():
-                    halves[c] = (core, c[len(core) :])
-            fresh = {x for c in new for x in halves.get(c, (c,)) if x not in cache}
-            self.learn(list(fresh))
-            for c, (a, b) in halves.items():
-                cache[c] = cache[a] + cache[b]
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(cache.__getitem__, p)) for t, p in zip(texts, parts)]
+        parts = [None if self.added.search(t) else (_ANY_CHUNK if _OTHER_SPACE.search(t) else _CHUNK).findall(t) for t in texts]
+        need = set(chain.from_iterable(filter(None, parts)))
+        if self.size > self.keep:
+            self.young, self.old, self.size = {}, self.young, 0
+        if new := need.difference(self.young):
+            known = {c: self.old[c] for c in new.intersection(self.old)}
+            self.learn(list(new.difference(known)), known)
+            self.young.update(known)
+            self.size += 200 * len(known) + sum(map(len, known))
+        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(self.young.__getitem__, p)) for t, p in zip(texts, parts)]
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -105,6 +104,16 @@ def _encoder(definition: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
+def _parts(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """b in runs of rows whose texts (column 1) have about ``most`` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
 def train_dictionary(samples: list[bytes], size: int = 65536) -> bytes:
     """A zstandard dictionary of at most size bytes; empty when there is too little to learn from."""
     size = min(size, sum(map(len, samples)) // 10)
@@ -127,7 +136,7 @@ def pack(rows: Iterable[tuple[int | None, int, bytes]], dictionary: bytes) -> by
     rows = list(rows)
     index = np.zeros(len(rows), INDEX)
     index["doc_id"] = [NO_ID if r[0] is None else r[0] for r in rows]
-    index["n_tokens"] = [r[1] for r in rows]
+    index["n_tokens"] = [r[1] | (_NULL if r[0] is None else 0) for r in rows]
     index["offset"] = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])[:-1]]) if rows else []
     body = index.tobytes() + b"".join(r[2] for r in rows)
     return _HEAD.pack(MAGIC, _HEAD.size + len(body), hashlib.sha256(dictionary).digest(), len(rows)) + body
@@ -148,9 +157,10 @@ def unpack(data: bytes | memoryview, dictionary: bytes) -> Iterator[tuple[int |
         ends = [*index["offset"][1:].tolist(), size - _HEAD.size - index.nbytes]
         for doc_id, tokens, a, b in zip(index["doc_id"].tolist(), index["n_tokens"].tolist(), index["offset"].tolist(), ends):
             raw = unzip.decompress(view[base + a : base + b])
+            null, tokens = tokens & _NULL, tokens & ~_NULL
             if len(raw) != 4 * tokens:
                 raise ValueError(f"document {doc_id}: {len(raw) // 4} ids, the index has {tokens}")
-            yield (None if doc_id == NO_ID else doc_id), tokens, raw
+            yield (None if null else doc_id), tokens, raw
         at += size
 
 
@@ -164,6 +174,8 @@ def read_one(data: bytes, doc_id: int, dictionary: bytes) -> list[int] | None:
         _, size, _, n = _HEAD.unpack_from(view, at)
         index = np.frombuffer(view, INDEX, n, at + _HEAD.size)
         k = int(np.searchsorted(index["doc_id"], doc_id))
+        while k < n and index["doc_id"][k] == doc_id and index["n_tokens"][k] & np.uint64(_NULL):
+            k += 1
         if k < n and index["doc_id"][k] == doc_id:
             base = at + _HEAD.size + index.nbytes
             end = int(index["offset"][k + 1]) if k + 1 < n else size - _HEAD.size - index.nbytes
@@ -172,16 +184,18 @@ def read_one(data: bytes, doc_id: int, dictionary: bytes) -> list[int] | None:
     return None
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_bytes: int = 16 << 20, sample_docs: int = 1000, scratch: Scratch | None = None) -> tuple[str, bytes]:
+def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_bytes: int = 16 << 20, sample_docs: int = 1000, sample_doc_bytes: int = 1 << 16, scratch: Scratch | None = None) -> tuple[str, bytes]:
     """Encode every whole text, append end_id, and write shards; returns their folder and the dictionary.
 
     tokenizer: a tokenizers JSON file on the driver, sent to the executors (it does not
-    grow with the data). The dictionary is trained on at most sample_docs documents,
-    chosen by a hash of their id (it affects sizes only). Frames are compressed before
-    the one shuffle, which deals them by ranges of doc_id to about one shard for
-    shard_bytes of input. A null text is empty (the end id only); rows with a null id
-    come first; rows of equal id are ordered by their frames; an empty table writes no
-    shard; other columns are not read.
+    grow with the data). The dictionary, which affects sizes only, is trained on the
+    whole ids of at most sample_docs documents, those with the smallest hashes of id and
+    text among those of at most sample_doc_bytes (it serves short documents). Frames are
+    compressed before the one shuffle, which deals them by ranges of doc_id to about one
+    shard for shard_bytes of input; an id with more rows than a range is spread over
+    several. A null text is empty (the end id only); rows with a null id come first; rows
+    of equal id come in an order that depends on the input's layout alone; an empty table
+    writes no shard; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -190,28 +204,33 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
         definition = f.read()
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     n = slices(spark, docs, shard_bytes)
-    total, bounds = src.agg(F.count("*"), F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n + 1000)).first()
-    bounds = sorted(set(bounds or [])) if n > 1 else []
-    every = max(1, total // sample_docs)
+    placed = F.coalesce("doc_id", F.lit(NO_ID))
+    total, bounds = src.agg(F.count("*"), F.percentile_approx(placed, [i / n for i in range(1, n)] or [0.5], 20 * n + 1000)).first()
+    bounds = np.array(bounds if n > 1 and bounds else [], np.int64)
     enc = _encoder(definition)
     end = np.array([end_id], "<u4").tobytes()
-    picked = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(sample_docs).select("t").toLocalIterator()
-    dictionary = train_dictionary([(enc.raw(r.t or "") + end)[: 1 << 16] for r in picked])
-    shared = spark.sparkContext.broadcast((definition, dictionary))
+    h = F.xxhash64("doc_id", "t")
+    share = min(1.0, 2 * sample_docs / max(total, 1))
+    fits = src.filter(F.coalesce(F.octet_length("t"), F.lit(0)) <= sample_doc_bytes).filter(F.pmod(h, F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+    picked = fits.orderBy(h, "doc_id", "t").limit(sample_docs).select("t").collect()
+    dictionary = train_dictionary([enc.raw(r.t or "") + end for r in picked])
+    shared = spark.sparkContext.broadcast((definition, dictionary, bounds))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from corpusmill.llm.tokenfile import _encoder, compressor
+        from corpusmill.llm.tokenfile import _encoder, _parts, compressor
 
-        definition, dictionary = shared.value
-        enc, zip_ = _encoder(definition), compressor(dictionary)
-        cut = np.array(bounds, dtype=np.int64)
+        definition, dictionary, bounds = shared.value
+        enc, zip_, rows = _encoder(definition), compressor(dictionary), 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in _parts(b):
                 ids = part.column(0).to_pylist()
                 raw = [r + end for r in enc.raws([t or "" for t in part.column(1).to_pylist()])]
-                shard = np.searchsorted(cut, [NO_ID if i is None else i for i in ids], side="left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zip_.compress(r) for r in raw], pa.binary()), pa.array(shard)], names=["doc_id", "n_tokens", "frame", "shard"])
+                at = np.array([NO_ID if i is None else i for i in ids], np.int64)
+                first, last = np.searchsorted(bounds, at, side="left"), np.searchsorted(bounds, at, side="right")
+                # an id that is several bounds at once has the ranges between them to itself
+                shard = first + (rows + np.arange(len(at))) % np.maximum(last - first, 1)
+                rows += len(at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array([zip_.compress(r) for r in raw], pa.binary()), pa.array(shard.astype(np.int32))], names=["doc_id", "n_tokens", "frame", "shard"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from corpusmill.llm.tokenfile import pack
@@ -267,5 +286,6 @@ def positions(read: DataFrame, scratch: Scratch) -> DataFrame:
     """
     read = scratch.table(read, "read")
     totals = read.groupBy("file", "first_id").agg(F.sum("n_tokens").alias("n"))
-    starts = totals.select("file", (F.sum("n").over(W.orderBy("first_id", "file")) - F.col("n")).alias("offset"))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long")  # ranges of one id lie in several files
+    starts = totals.select("file", (F.sum("n").over(W.orderBy("first_id", part, "file")) - F.col("n")).alias("offset"))
     return read.join(starts, "file").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
