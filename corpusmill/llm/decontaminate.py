@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import Coder, words
@@ -62,22 +64,30 @@ def _hashes(code: np.ndarray, size: int) -> np.ndarray:
 class Items:
     """A block of benchmark items, their n-grams and, after counting, their seeds."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[int | None, str]], n: int):
+        """rows: (id, text); rows that share an id, or have none, are items of their own."""
         ids: dict[bytes, int] = {}
-        self.code = {i: np.array([ids.setdefault(x, len(ids) + 1) for x in words(t)], np.int64) for i, t in rows}
+        self.names = [i for i, _ in rows]
+        self.code = [np.array([ids.setdefault(x, len(ids) + 1) for x in words(t)], np.int32) for _, t in rows]
         self.coder = Coder(ids)
-        where: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, c in self.code.items():
-            size = min(n, len(c))
-            for k, h in enumerate(_hashes(c, size).tolist() if size else []):
-                where[size][h].append((i, k))
-        self.tables = [(size, np.array(sorted(w), np.uint64), [w[h] for h in sorted(w)]) for size, w in sorted(where.items())]
-        self.df = [np.zeros(len(keys), np.int64) for _, keys, _ in self.tables]
-        self.seed = [np.ones(len(keys), bool) for _, keys, _ in self.tables]
+        by_size: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        for k, c in enumerate(self.code):
+            if len(c):
+                by_size[min(n, len(c))].append((_hashes(c, min(n, len(c))), k))
+        self.tables = []  # size, sorted n-grams, where each one's places start, items and positions of the places
+        for size, found in sorted(by_size.items()):
+            h = np.concatenate([x for x, _ in found])
+            order = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[order], return_index=True)
+            item = np.repeat(np.array([k for _, k in found], np.int32), [len(x) for x, _ in found])[order]
+            place = np.concatenate([np.arange(len(x), dtype=np.int32) for x, _ in found])[order]
+            self.tables.append((size, keys, np.append(first, len(h)), item, place))
+        self.df = [np.zeros(len(t[1]), np.int64) for t in self.tables]
+        self.seed = [np.ones(len(t[1]), bool) for t in self.tables]
 
     def found(self, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(table, word positions, n-gram numbers) of the benchmark n-grams in a document."""
-        for t, (size, keys, _) in enumerate(self.tables):
+        for t, (size, keys, *_) in enumerate(self.tables):
             h = _hashes(code, size)
             at = np.flatnonzero(h)
             k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
@@ -87,22 +97,35 @@ class Items:
 
     def choose(self, common: float, spread: float = 4.0) -> None:
         """Keep an item's n-grams found in at most the larger of common and spread times its median."""
-        by_item = defaultdict(list)
-        for (_, _, where), df in zip(self.tables, self.df):
-            for places, n in zip(where, df.tolist()):
-                for i, _ in places:
-                    by_item[i].append(n)
-        limit = {i: max(common, spread * float(np.median(v))) for i, v in by_item.items()}
-        self.seed = [np.array([any(n <= limit[i] for i, _ in places) for places, n in zip(where, df.tolist())], bool) for (_, _, where), df in zip(self.tables, self.df)]
-
-    def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
-        """(item, score, matched words from, to) of the items that align with the text."""
+        if not self.tables:
+            return
+        times = [np.repeat(df, np.diff(first)) for (_, _, first, _, _), df in zip(self.tables, self.df)]
+        item, n = np.concatenate([t[3] for t in self.tables]), np.concatenate(times)
+        order = np.lexsort((n, item))
+        who, start, size = np.unique(item[order], return_index=True, return_counts=True)
+        median = (n[order][start + (size - 1) // 2] + n[order][start + size // 2]) / 2
+        limit = np.full(len(self.code), float(common))
+        limit[who] = np.maximum(common, spread * median)
+        self.seed = [np.logical_or.reduceat(n <= limit[t[3]], t[2][:-1]) for t, n in zip(self.tables, times)]
+
+    def matches(self, text: str | None, threshold: float) -> list[tuple[int | None, float, int, int]]:
+        """(item id, score, matched words from, to) of the items that align with the text, the best of each id."""
+        best: dict = {}
+        for k, *found in self._aligned(text, threshold):
+            i = self.names[k]
+            if i not in best or found[0] > best[i][0]:
+                best[i] = found
+        return [(i, *found) for i, found in best.items()]
+
+    def _aligned(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int]]:
         w = self.coder.codes(text)
         starts = defaultdict(set)  # where an item would begin, by item
         for t, at, k in self.found(w):
             ok = self.seed[t][k]
+            _, _, first, items, place = self.tables[t]
             for p, g in zip(at[ok].tolist(), k[ok].tolist()):
-                for i, q in self.tables[t][2][g]:
+                places = slice(first[g], first[g + 1])
+                for i, q in zip(items[places].tolist(), place[places].tolist()):
                     starts[i].add(p - q)
         out = []
         for i, begin in starts.items():
@@ -126,34 +149,60 @@ class Items:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, common_share: float = 1e-4, block_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, threshold: float = 0.5, common_share: float = 1e-4, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, score, word_from, word_to): every document and item that align at threshold or better.
 
     The benchmark is the stated query set: it is taken in blocks of at most block_bytes
     of text, each broadcast on its own, so a benchmark of any size needs bounded memory.
     An n-gram in at most common_share of all documents is always a seed. Items shorter
     than n words are one seed as a whole; null or empty texts match nothing; repeated
-    rows give repeated matches; rows with a null id keep it; an empty table on either
-    side gives an empty result; other columns are not read.
+    documents give repeated matches; items that share an id are one item with several
+    texts, of which the best counts (in each block); documents and items with a null id
+    keep it; an empty table on either side gives an empty result; other columns are not
+    read.
     """
-    spark = docs.sparkSession
-    ship(spark)
     schema = "doc_id long, item_id long, score double, word_from long, word_to long"
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null and t is not null")
-    total = src.count()
     out = None
-    for block in _blocks(rows.toLocalIterator(), block_bytes):
-        part = _block(spark, src, Items(block, n), total * common_share, threshold, schema)
+    for chosen in seeds(docs, benchmark, text_col, item_col, item_text, n, common_share, block_bytes):
+
+        def match(batches: Iterator[pa.RecordBatch], chosen=chosen) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in chosen.value.matches(t, threshold)]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "word_from", "word_to"])
+
+        part = src.mapInArrow(match, schema)
         out = part if out is None else out.union(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def holds_item(text: Column, chosen: list, threshold: float = 0.5) -> Column:
+    """True where a whole text aligns with any item of the blocks that seeds() gives; rows stay in place."""
+    def holds(block) -> Column:
+        def run(t: pa.Array) -> pa.Array:
+            return pa.array([bool(block.value.matches(x, threshold)) for x in t.to_pylist()], pa.bool_())
+
+        return F.arrow_udf(run, "boolean")(text.cast("string"))
+
+    return reduce(or_, map(holds, chosen), F.lit(False))
+
+
+def seeds(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, common_share: float = 1e-4, block_bytes: int = 8 << 20) -> list:
+    """Broadcast blocks of benchmark items with the seeds that the documents' n-gram counts leave them."""
+    spark = docs.sparkSession
+    ship(spark)
+    src = docs.select(F.col(text_col).cast("string").alias("t"))
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
+    total = src.count()
+    return [_counted(spark, src, Items(block, n), total * common_share) for block in _blocks(rows.toLocalIterator(), block_bytes)]
 
 
 def _blocks(rows, most: int):
     block, size = [], 0
     for r in rows:
         block.append((r.i, r.t))
-        size += len(r.t)
+        size += len(r.t.encode("utf-8", "replace"))
         if size >= most:
             yield block
             block, size = [], 0
@@ -161,7 +210,7 @@ def _blocks(rows, most: int):
         yield block
 
 
-def _block(spark, src: DataFrame, items: Items, common: float, threshold: float, schema: str) -> DataFrame:
+def _counted(spark, src: DataFrame, items: Items, common: float):
     shared = spark.sparkContext.broadcast(items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +225,4 @@ def _block(spark, src: DataFrame, items: Items, common: float, threshold: float,
     for r in src.select("t").mapInArrow(count, "size int, g int, n long").groupBy("size", "g").agg(F.sum("n").alias("n")).toLocalIterator():
         items.df[r["size"]][r["g"]] = r["n"]
     items.choose(common)
-    chosen = spark.sparkContext.broadcast(items)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = chosen.value
-        for b in batches:
-            got = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in items.matches(t, threshold)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*got), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "word_from", "word_to"])
-
-    return src.mapInArrow(match, schema)
+    return spark.sparkContext.broadcast(items)
