@@ -9,14 +9,14 @@ word edges included, are hashed into a fixed number of buckets.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusmill.runtime import ship
 
@@ -113,26 +113,41 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, **settings) -> LanguageModel:
-    """A model from about max_docs whole texts of each language, chosen by a hash of their id.
+    """A model from at most max_docs whole texts of each language, those with the smallest hashes of id and text.
 
-    Rows with a null language or id give nothing. Features are computed on the
-    executors; the driver gets at most the bucket counts of the sample.
+    Repeated rows count once; rows with a null language or id give nothing. Features are
+    computed on the executors; the driver gets at most the bucket counts of the sample.
     """
     ship(docs.sparkSession)
     model = LanguageModel(**settings)
     src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("l is not null and i is not null")
     counts = {r["l"]: r["n"] for r in src.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, max_docs / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    hashed = F.pmod(F.xxhash64(F.col("i"), F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    if not counts:
+        return model
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil(min(1.0, 2 * max_docs / n) * (1 << 20)))])
+    some = src.withColumn("h", F.xxhash64("i", "t", F.lit(11))).filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("l")]).dropDuplicates(["l", "h"])
+    some = some.withColumn("n", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("n") <= max_docs).select("h", "l", "t")
     buckets = model.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [features(t, buckets) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype(np.int32).tobytes() for x, _ in f], pa.binary()), pa.array([x.astype(np.int32).tobytes() for _, x in f], pa.binary())], names=["i", "l", "at", "n"])
+            f = [features(t, buckets) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32).tobytes() for x, _ in f], pa.binary()), pa.array([x.astype(np.int32).tobytes() for _, x in f], pa.binary())], names=["h", "l", "at", "n"])
 
-    rows = src.filter(hashed < share[F.col("l")]).mapInArrow(run, "i long, l string, at binary, n binary").toLocalIterator()
-    return model.fit([(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.n, np.int32).astype(float), r.l, zlib.crc32(str(r.i).encode() + b"/t")) for r in rows])
+    rows = some.mapInArrow(run, "h long, l string, at binary, n binary").toLocalIterator()
+    return model.fit([(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.n, np.int32).astype(float), r.l, r.h & (1 << 63) - 1) for r in rows])
+
+
+def prediction_of(spark, text: Column, model: LanguageModel) -> Column:
+    """struct(lang_pred, score) of each whole text as a column; rows stay in place, only texts pass through Python."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(t: pa.Array) -> pa.Array:
+        got = [shared.value.predict(x) for x in t.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["lang_pred", "score"])
+
+    return F.arrow_udf(run, "lang_pred string, score double")(text.cast("string"))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,12 +157,5 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     size and is broadcast; there is no shuffle. Repeated rows and null ids pass through;
     an empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [shared.value.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), prediction_of(docs.sparkSession, F.col(text_col), model).alias("p"))
+    return found.select("doc_id", "p.lang_pred", "p.score")
