@@ -33,7 +33,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     archives = warc.write(_t(spark, sf_dir, "pages"), scratch)
-    return warc.read(spark, archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, archives, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
