@@ -25,6 +25,8 @@ from corpusmill.runtime import Scratch, ship
 SEED = 42
 #: A bucket with so many free bits is never split, as it has at most 2**FREE members.
 FREE = 16
+#: Keys that a task sorts and links.
+KEYS = 1 << 20
 
 
 def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = SEED) -> int:
@@ -130,34 +132,73 @@ def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def _links(h: np.ndarray, fps: np.ndarray, radius: int, few: int = 16) -> list[tuple[int, int]]:
+    """Linked fingerprints of whole buckets that stand one behind the other."""
+    at = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    size = np.diff(at)
+    small = np.repeat((size > 1) & (size <= few), size)
+    hs, fs = h[small], fps[small].view(np.uint64)
+    pairs = []
+    for d in range(1, few):
+        i = np.flatnonzero(hs[d:] == hs[:-d])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(fs[i] ^ fs[i + d]) <= radius]
+        pairs.append(np.stack([fs[i], fs[i + d]], axis=1).view(np.int64))
+    found = list(map(tuple, np.unique(np.concatenate(pairs), axis=0).tolist())) if pairs else []
+    for k in np.flatnonzero(size > few).tolist():
+        part = fps[at[k] : at[k + 1]]
+        found += [(int(part[i]), int(part[j])) for i, j in spanning_links(part, radius)]
+    return found
+
+
 def _bucket_links(radius: int):
+    """Rows (h, fp) in order of h to star links; a bucket is held whole, never two batches' worth more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def stars(pairs):
+            got = forest(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([top for _, top in got], pa.int64())], names=["a", "b"])
+
         for b in batches:
-            at, fps = b.column(0).offsets.to_numpy(), b.column(0).values.to_numpy(zero_copy_only=False)
-            two = np.diff(at) == 2
-            x, y = fps[at[:-1][two]], fps[at[:-1][two] + 1]
-            near = np.bitwise_count((x ^ y).view(np.uint64)) <= radius
-            pairs = list(zip(x[near].tolist(), y[near].tolist()))
-            for start, end in zip(at[:-1][~two].tolist(), at[1:][~two].tolist()):
-                part = fps[start:end]
-                pairs += [(int(part[i]), int(part[j])) for i, j in spanning_links(part, radius)]
-            stars = forest(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in stars], pa.int64()), pa.array([top for _, top in stars], pa.int64())], names=["a", "b"])
+            h = np.concatenate([h, b.column(0).to_numpy(zero_copy_only=False)])
+            fps = np.concatenate([fps, b.column(1).to_numpy(zero_copy_only=False)])
+            last = int(np.searchsorted(h, h[-1], side="left")) if len(h) else 0
+            if last:
+                yield stars(_links(h[:last], fps[:last], radius))
+                h, fps = h[last:], fps[last:]
+        if len(h):
+            yield stars(_links(h, fps, radius))
 
     return run
 
 
+def _hot_cells(keys: DataFrame, number: int, bucket: int) -> tuple[Column, list[int]]:
+    """A coarse cell of each bucket, and the cells with more than ``bucket`` rows.
+
+    A bucket lies whole in one cell, so one in any other cell is small. Cells are counted
+    with map-side combine and hold a fraction of ``bucket`` rows on average, so next to
+    none but those of large buckets are named; there are at most number / bucket.
+    """
+    cells = 1 << max(12, (8 * number // bucket).bit_length())
+    cell = F.pmod("h", F.lit(cells))
+    return cell, [r["c"] for r in keys.groupBy(cell.alias("c")).agg(F.count("*").alias("n")).filter(F.col("n") > bucket).collect()]
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words_per_shingle: int = 3, bucket: int = 1 << 16) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked, and
     component_id is the smallest doc_id reachable by links. Equal fingerprints are
-    collapsed first (combined map-side), so copies cost one row. Buckets of more
-    than ``bucket`` distinct fingerprints are keyed anew by covering masks over their
-    free bits, again and again until they are small or have at most 16 free bits, so no
-    task ever holds more than the larger of ``bucket`` and 2**16 distinct members of a
-    bucket and none is cut. Only masks of buckets that are too large get new ones, and
-    only those are broadcast.
+    collapsed first (combined map-side), so copies cost one row. The keys of all tables
+    are shuffled once, by bucket, and linked bucket by bucket as they stream by. Buckets
+    of more than ``bucket`` distinct fingerprints, found beforehand by a coarse count, are
+    keyed anew by covering masks over their free bits, again and again until they are
+    small or have at most 16 free bits, so no task ever holds more than the larger of
+    ``bucket`` and 2**16 distinct members of a bucket and none is cut. Only masks of
+    buckets that are too large get new ones, and only those are broadcast.
 
     Null or empty texts have fingerprint 0 and are linked like any other; rows with a
     null doc_id follow their fingerprint's group (null if all its ids are null);
@@ -169,24 +210,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fps = scratch.table(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     classes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     first = covering_masks(list(range(64)), radius)
-    keys = classes.filter("rep is not null").select("fp", _masks(first)).select("fp", _bucket("k.t", "k.m"))
-    sizes = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.table(keys.join(sizes, "h"), "shared")
-    small = [shared.filter(F.col("n") <= bucket).select("fp", "h")]
-    hot = shared.filter(F.col("n") > bucket).select("fp", F.col("h").alias("h1"), _masks(first)).filter(_bucket("k.t", "k.m") == F.col("h1")).select("fp", F.col("k.m").alias("of"))
-    while True:
-        hot = scratch.table(hot, f"hot{len(small)}")
-        large = [row["of"] for row in hot.select("of").distinct().collect()]
-        if not large:
-            break
-        masks = spark.createDataFrame(_finer(large, radius), "of long, m long")
-        again = hot.join(F.broadcast(masks), "of").select("fp", "m").distinct().select("fp", "m", _bucket("m", "m"))
-        again = scratch.table(again.join(again.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h"), f"shared{len(small)}")
-        done = (F.col("n") <= bucket) | (F.bit_count("m") >= 64 - FREE)
-        small.append(again.filter(done).select("fp", "h"))
-        hot = again.filter(~done).select("fp", F.col("m").alias("of"))
-    groups = reduce(DataFrame.union, small).groupBy("h").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
-    comps = components(groups.mapInArrow(_bucket_links(radius), "a long, b long"), scratch, contracted=True)
+    keys = classes.filter("rep is not null").select("fp", _masks(first)).select(_bucket("k.t", "k.m"), "fp")
+    distinct = classes.count()
+    number = distinct * len(first)
+    # no bucket has more members than there are fingerprints
+    cell, large = _hot_cells(keys, number, bucket) if distinct > bucket else (None, [])
+    small, used = [keys], []
+    if large:
+        cells = F.broadcast(spark.createDataFrame([(x,) for x in large], "c long"))
+        small = [keys.withColumn("c", cell).join(cells, "c", "left_anti").select("h", "fp")]
+        again = keys.withColumn("c", cell).join(cells, "c", "left_semi").select("h", "fp")
+        again = scratch.table(again.join(again.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h"), "shared0")
+        small.append(again.filter(F.col("n") <= bucket).select("h", "fp"))
+        used.append("shared0")
+        hot = again.filter(F.col("n") > bucket).select("fp", F.col("h").alias("h1"), _masks(first)).filter(_bucket("k.t", "k.m") == F.col("h1")).select("fp", F.col("k.m").alias("of"))
+        while True:
+            used.append(f"hot{len(used)}")
+            hot = scratch.table(hot, used[-1])
+            finer = [row["of"] for row in hot.select("of").distinct().collect()]
+            if not finer:
+                break
+            masks = spark.createDataFrame(_finer(finer, radius), "of long, m long")
+            again = hot.join(F.broadcast(masks), "of").select("fp", "m").distinct().select("fp", "m", _bucket("m", "m"))
+            used.append(f"shared{len(used)}")
+            again = scratch.table(again.join(again.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h"), used[-1])
+            done = (F.col("n") <= bucket) | (F.bit_count("m") >= 64 - FREE)
+            small.append(again.filter(done).select("h", "fp"))
+            hot = again.filter(~done).select("fp", F.col("m").alias("of"))
+    dealt = reduce(DataFrame.union, small).repartition(1 + number // KEYS, F.col("h")).sortWithinPartitions("h")
+    comps = components(dealt.mapInArrow(_bucket_links(radius), "a long, b long"), scratch, contracted=True)
+    for name in used:
+        scratch.drop(name)
     named = classes.join(comps, classes["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     return fps.join(named.join(least, "c").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
