@@ -5,6 +5,7 @@ import hashlib
 import io as _io
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -135,30 +136,65 @@ def test_bpe_documents(spark, edge):
     assert {r.decoded_sha256 for r in got} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in EDGE}
 
 
-def test_token_files(spark, edge, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(edge.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000_000))
-    s = Scratch(spark, "t")
-    path, dictionary = tokenfile.write_token_files(docs, P.path("byte_bpe_50k.json"), shard_bytes=50_000, scratch=s)
-    got = tokenfile.positions(tokenfile.read_token_files(spark, path, dictionary), s).orderBy("start").collect()
+def library_rows(docs):
+    """(doc_id, n_tokens, ids_crc32) of each document by the tokenizers library alone."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    want = sorted((-1 if r.doc_id is None else r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.collect())
-    assert [(-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got] == want
-    assert [r.start for r in got] == [sum(n for _, n in want[:i]) for i in range(len(want))]
+    out = []
+    for i, t in docs:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        out.append((i, len(ids), zlib.crc32(ids.tobytes())))
+    return out
+
+
+def token_rows(spark, docs, **settings):
+    s = Scratch(spark, "t")
+    path, dictionary = tokenfile.write_token_files(docs, P.path("byte_bpe_50k.json"), scratch=s, **settings)
+    return tokenfile.positions(tokenfile.read_token_files(spark, path, dictionary), s).orderBy("start").collect()
+
+
+SPECIAL = [(90_000_000, "hello <|endoftext|> world"), (90_000_001, "<|endoftext|>"), (90_000_002, "tab\there \x1cand\xa0there's  two\n\nlines. "), (90_000_003, "'tis the dogs' 're' \"quoted\"..., 'll"), (-(1 << 63), "smallest id")]
+
+
+def test_token_files(spark, edge, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(edge.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
+    docs = docs.unionByName(spark.createDataFrame(SPECIAL, "doc_id long, text string")).withColumn("frame", F.lit("clash")).withColumn("shard", F.lit(1))
+    got = token_rows(spark, docs, shard_bytes=50_000)
+    want = sorted(library_rows((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [r.doc_id for r in got] == [i for i, _, _ in want]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter(want)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    assert token_rows(spark, docs.limit(0)) == []
     blob = tokenfile.pack([(5, 2, tokenfile.compressor(b"").compress(np.array([7, 0], "<u4").tobytes()))], b"")
     assert tokenfile.read_one(blob + b"\n", 5, b"") == [7, 0] and tokenfile.read_one(blob, 6, b"") is None
 
 
+def test_token_files_spread_a_hot_id(spark):
+    rows = [(i, f"text {i} of many") for i in range(100)] + [(50, "the same text again and again")] * 300 + [(None, f"no id {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = Scratch(spark, "t")
+    path, dictionary = tokenfile.write_token_files(docs, P.path("byte_bpe_50k.json"), scratch=s, shard_bytes=1000)
+    read = tokenfile.read_token_files(spark, path, dictionary)
+    assert read.filter("doc_id = 50").groupBy("file").count().agg(F.count("*"), F.max("count")).first()[0] > 2
+    got = tokenfile.positions(read, s).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter(library_rows(rows))
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+
+
 def test_token_chunks_equal_whole():
+    from tokenizers import Tokenizer
+
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        enc = tokenfile.ChunkEncoder(f.read(), keep=500)
+        definition = f.read()
+    enc, tok = tokenfile.ChunkEncoder(definition, keep=500), Tokenizer.from_str(definition)
     rng = random.Random(4)
-    parts = ["a", "th", "ing", "'", "'re", " ", "  ", "\n", "\t", "1", ".", ",", "!!", "?", "é", "漢", "😀", "\xa0", " the", "don't", "x."]
-    for _ in range(60):
-        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    parts = ["a", "th", "ing", "'", "'re", " ", "  ", "\n", "\t", "1", ".", ",", "!!", "?", "é", "漢", "😀", "\xa0", " the", "don't", "x.", " 's", "\x1c", "\x85", "ŉ", "_", "a\u0301", "ⁿ", "***", "<|endoftext|>"]
+    for k in range(120):
+        texts = ["".join(rng.choice(parts[: -(k % 2) or None]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
         for t, raw in zip(texts, enc.raws(texts)):
-            assert np.frombuffer(raw, "<u4").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def brute_links(v, cosine):
@@ -200,12 +236,15 @@ def test_warc_round_trip(spark):
             assert bytes(got[k].payload) == (h or "").encode()
 
 
-def test_warc_repeated_and_null_keys(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_warc_repeated_and_null_keys(spark, few):
     a, b, c = "a" * 40_000, "b" * 40_000, "c" * 40_000
     rows = [(1, "u1", a)] * 3 + [(1, "other", a), (1, "u1", b), (2, "u2", c), (3, "u3", c), (4, "u4", a)] + [(None, f"n{i % 4}", a) for i in range(6)] + [(5, "u5", b + b), (5, "u5", b + b), (2, "u6", b + b)]
     s = Scratch(spark, "t")
-    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), s, segment=4096)
+    path = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).withColumn("digest", F.lit("clash")), s, segment=4096, archive_bytes=100_000, few=few)
     got = warc.read(spark, path).collect()
+    bare = warc.read(spark, path, payloads=False).collect()
+    assert sorted(map(str, (r[:6] for r in got))) == sorted(map(str, (r[:6] for r in bare))) and {r.payload for r in bare} == {None}
     assert Counter((r.key, r.uri, r.payload_digest) for r in got) == Counter((k, u, hashlib.sha1(h.encode()).hexdigest()) for k, u, h in rows)
     assert Counter((r.key, r.refers_to) for r in got if r.record_type == "revisit") == {(1, 4): 4, (2, 3): 1, (2, 5): 1}
     assert all(bytes(r.payload) in (a.encode(), b.encode(), c.encode(), (b + b).encode()) for r in got if r.record_type == "response")
@@ -217,9 +256,22 @@ def test_warc_repeated_and_null_keys(spark):
     assert Counter(f["x-refers-to-key"] for f in fields if "warc-refers-to" in f) == {"4": 4, "3": 1}
 
 
+def test_warc_empty_and_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert warc.read(spark, warc.write(pages.limit(0), Scratch(spark, "t"))).count() == 0
+    rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
+    last = {}
+    for i, h in rows:
+        last[h] = max(i, last.get(h, i))
+    want = {i: (len(h), hashlib.sha1(h).hexdigest(), "response" if len(h) < 1000 or last[h] == i else "revisit", None if len(h) < 1000 or last[h] == i else last[h]) for i, h in rows}
+    for few in (50_000, 0):
+        got = warc.read(spark, warc.write(pages, Scratch(spark, "t"), few=few), payloads=False).collect()
+        assert {r.key: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want and len(got) == len(rows)
+
+
 def test_warc_frames():
     data = bytes(range(256)) * 50
-    parts = [(f["warc-segment-number"] if "warc-segment-number" in f else None, f.get("warc-segment-total-length"), b) for f, b in warc.parse(_io.BytesIO(b"".join(r + b"\r\n" for r in warc.records(1, "u", data, None, 1000))))]
+    parts = [(f["warc-segment-number"] if "warc-segment-number" in f else None, f.get("warc-segment-total-length"), b) for f, b in warc.parse(_io.BytesIO(b"".join(r + b"\r\n" for r in warc.records(1, "u", data, 1000))))]
     segments = [(int(n), int(t) if t else None, b) for n, t, b in parts]
     random.Random(1).shuffle(segments)
     assert warc.reassemble(segments) == data
@@ -254,6 +306,20 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontaminate_edge(spark):
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"x{rng.randrange(500)}" for _ in range(n))
+    one, two, three = text(25), text(25), text(25)
+    items = spark.createDataFrame([(1, one), (1, two), (None, three), (2, "lone"), (3, None)], "item_id long, text string").withColumn("score", F.lit(1))
+    docs = [(5, text(50) + " " + one), (5, text(50) + " " + one), (6, two), (7, "x " * 200_000 + three), (None, "a lone word"), (8, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(9))
+    for block in (8 << 20, 10):
+        got = Counter((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items, block_bytes=block).collect())
+        assert got == {(5, 1): 2, (6, 1): 1, (7, None): 1, (None, 2): 1}
+        kept = docs.filter(~decontaminate.holds_item(F.col("text"), decontaminate.seeds(docs, items, block_bytes=block)))
+        assert [r.doc_id for r in kept.collect()] == [8] and kept.columns == docs.columns
+
+
 def smith_waterman(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
@@ -384,6 +450,66 @@ def test_language_held_out(spark, edge):
     assert langid.predict(edge, model).count() == len(EDGE)
 
 
+def test_language_edge(spark, edge):
+    rows = [(i, t, lang, "x") for lang, parts in (("aa", "ka ti lo mu"), ("bb", "sch zung ein ver"), ("cc", "ção ões lha")) for i, t in enumerate([" ".join(random.Random(i).choices(parts.split(), k=40)) for i in range(60)])]
+    docs = spark.createDataFrame([*rows, *rows[:50], (1, None, "aa", "x"), (2, "", "bb", "x"), (None, "no id", "aa", "x"), (3, "no language", None, "x")], "doc_id long, text string, lang string, score string")
+    model = langid.fit(docs, max_docs=40)
+    assert model.languages == ["aa", "bb", "cc"] and np.array_equal(model.weights, langid.fit(docs.repartition(5), max_docs=40).weights)
+    got = langid.predict(docs, model)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and got.count() == docs.count() and got.filter("lang_pred = 'und'").count() == 2
+    assert model.predict("sch zung " * 500_000)[0] == "bb"
+    empty = langid.fit(docs.limit(0))
+    assert langid.predict(docs, empty).filter("lang_pred <> 'und'").count() == 0 and langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_language_model_is_ftrl():
+    """Weights against one-coordinate-at-a-time follow-the-regularised-leader; the temperature against a grid."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(60):
+        lang = "abc"[k % 3]
+        at = np.unique(np.concatenate([rng.integers(0, 64, 6), rng.integers(20 * (k % 3), 20 * (k % 3) + 20, 4)]))
+        rows.append((at, rng.integers(1, 5, len(at)).astype(float), lang, int(rng.integers(0, 1 << 40))))
+    m = langid.LanguageModel(buckets=64, epochs=2).fit(rows)
+    rows.sort(key=lambda r: r[3])
+    df = Counter(b for at, *_ in rows for b in at.tolist())
+    idf = {b: math.log(61 / (1 + n)) + 1 for b, n in df.items()}
+    vectors = []
+    for at, counts, lang, h in rows:
+        v = {b: (1 + math.log(n)) * idf[b] for b, n in zip(at.tolist(), counts.tolist())}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append(({b: x / norm for b, x in v.items()}, "abc".index(lang), h % 5 == 0))
+    z, n = Counter(), Counter()
+
+    def weight(key):
+        if abs(z[key]) <= m.l1:
+            return 0.0
+        return -(z[key] - math.copysign(m.l1, z[key])) / ((m.beta + math.sqrt(n[key])) / m.alpha + m.l2)
+
+    def softmax(s):
+        e = [math.exp(x - max(s)) for x in s]
+        return [x / sum(e) for x in e]
+
+    for _ in range(2):
+        for v, y, held in vectors:
+            if held:
+                continue
+            x = {**v, "bias": 1.0}
+            w = {(b, c): weight((b, c)) for b in x for c in range(3)}
+            p = softmax([sum(x[b] * w[b, c] for b in x) for c in range(3)])
+            for b in x:
+                for c in range(3):
+                    g = x[b] * (p[c] - (c == y))
+                    z[b, c] += g - (math.sqrt(n[b, c] + g * g) - math.sqrt(n[b, c])) / m.alpha * w[b, c]
+                    n[b, c] += g * g
+    for b in range(64):
+        assert np.allclose(m.weights[b], [weight((b, c)) for c in range(3)], atol=1e-6)
+    assert np.allclose(m.bias, [weight(("bias", c)) for c in range(3)]) and (m.weights == 0).any()
+    scores = [([sum(x * m.weights[b][c] for b, x in v.items()) + m.bias[c] for c in range(3)], y) for v, y, held in vectors if held]
+    loss = lambda t: -sum(math.log(softmax([x / t for x in s])[y]) for s, y in scores)
+    assert loss(m.temperature) <= min(loss(math.exp(k / 50)) for k in range(-140, 141)) + 1e-6
+
+
 def test_elias_fano():
     rng = np.random.default_rng(8)
     for n, bits in ((0, 30), (1, 64), (3000, 64), (3000, 20), (20000, 50)):
