@@ -2,9 +2,11 @@
 
 import gzip
 import hashlib
+import html.parser
 import io as _io
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -287,6 +289,76 @@ def test_main_text():
     assert boilerplate.main_text(None) == "" and boilerplate.main_text("<p") == "" and boilerplate.main_text("<nav><a>x</a>") == ""
 
 
+PROSE = "The cat and the dog went to the house of the man. " * 6
+
+
+def test_main_text_weighs_names():
+    for names in ("content has-sidebar", "page no-comments", "news alert", "content sidebar-left", "main-content with-related", "sidebar"):
+        assert boilerplate.main_text(f'<body><div class="{names}"><p>{PROSE}</p></div></body>') == PROSE.strip()
+    page = f'<div class="post"><p>{PROSE}</p><p>Short.</p></div><div class="%s"><p>{PROSE * 4}</p></div>'
+    for names in ("comments", "comment-list", "sidebar", "cookie-banner", "ad"):
+        assert boilerplate.main_text(page % names) == PROSE.strip() + "\n\nShort."
+    assert boilerplate.main_text(page.replace("PROSE * 4", "") % "alert").startswith(PROSE.strip())
+
+
+def test_main_text_of_other_scripts_and_broken_tags():
+    chinese = "这是一个关于城市历史的文章，它讲述了人们如何在河边建立家园并且发展贸易。" * 4
+    assert boilerplate.main_text(f"<nav>菜单</nav><div><p>{chinese}</p></div>") == chinese
+    assert boilerplate.main_text(f'<div><p>{PROSE}</p></div><div><p>{chinese}</p></div><div class="ad">{PROSE}</div>') == PROSE.strip() + "\n\n" + chinese
+    assert boilerplate.main_text(f'<p title="x>{PROSE}</p><p class="y">{PROSE}</p>') == PROSE.strip() + "\n\n" + PROSE.strip()
+    assert boilerplate.main_text(f"<p title='a > b' data-x=\"<i>\">{PROSE}</p>") == PROSE.strip()
+
+
+def test_main_text_is_linear():
+    pages = ["<p>ab</p>" * 100_000, "<a " * 100_000, '<a "' * 50_000, "<div>" * 50_000 + "</ul>" * 50_000 + "x", "<" * 100_000, "<!--" * 20_000, "<script>" * 20_000, '<div class="ad">a' * 30_000]
+    start = time.process_time()
+    for p in pages:
+        boilerplate.main_text(p)
+    assert time.process_time() - start < 40
+
+
+class Article(html.parser.HTMLParser):
+    """Text blocks of the article element, as the generated pages hold it."""
+
+    def __init__(self):
+        super().__init__()
+        self.blocks, self.inside = [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1", "article"):
+            self.blocks.append("")
+        elif tag == "br" and self.inside:
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_main_text_of_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in boilerplate.extract(pages).collect()}
+    for r in pages.collect():
+        want = Article()
+        want.feed(r.html or "")
+        text = "\n\n".join(x for x in (" ".join(b.split()) for b in want.blocks) if x)
+        assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (text, len(text), r.url)
+
+
+def test_main_text_edge(spark):
+    rows = [(1, "u", None), (1, "u", ""), (2, None, f"<p>{PROSE}</p>"), (2, None, f"<p>{PROSE}</p>"), (None, "n", f"<article>x</article>"), (3, "l", f"<p>{PROSE * 20_000}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("h", F.lit(1))
+    got = boilerplate.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert Counter((r.page_id, r.url, r.n_chars) for r in got.collect()) == Counter([(1, "u", 0), (1, "u", 0), (2, None, 299), (2, None, 299), (None, "n", 1), (3, "l", 300 * 20_000 - 1)])
+    assert boilerplate.extract(pages.limit(0)).count() == 0
+
+
 def test_decontaminate(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
