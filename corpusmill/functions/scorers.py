@@ -87,7 +87,13 @@ def candidates(df: DataFrame, text: str, n: int = 3) -> DataFrame:
 
 def dedupe_candidates(c: Column) -> Column:
     """Keep the first of candidates equal after normalisation; drop empty ones; [""] when none is left."""
-    keyed = F.filter(F.transform(c, lambda x, i: F.struct(T.normalize(x).alias("k"), x.alias("x"))), lambda s: s["k"] != "")
-    keys = F.transform(keyed, lambda s: s["k"])
-    kept = F.transform(F.filter(F.transform(keyed, lambda s, i: F.struct(s["x"].alias("x"), s["k"].alias("k"), i.alias("i"))), lambda s: F.array_position(keys, s["k"]) == s["i"] + 1), lambda s: s["x"])
-    return F.when(F.size(kept) == 0, F.array(F.lit(""))).otherwise(kept)
+    keyed = F.transform(c, lambda x, i: F.struct(T.normalize(x).alias("k"), i.alias("i"), x.alias("x")))
+    # sorted by key and place, the first of each run of equal keys stays; texts are normalised once each
+    runs = T.bound(F.array_sort(F.filter(keyed, lambda s: s["k"] != "")), lambda s: F.filter(s, lambda x, i: (i == 0) | (s[F.greatest(i - 1, F.lit(0))]["k"] != x["k"])))
+    kept = F.transform(F.array_sort(F.transform(runs, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+    return T.bound(kept, lambda k: F.when(F.size(k) == 0, F.array(F.lit(""))).otherwise(k))
+
+
+def first_distinct(c: Column, n: int) -> Column:
+    """The first n different candidates, each at its first place."""
+    return F.slice(F.array_distinct(c), 1, n)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,7 @@ WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
 FOLD_FROM = "–—‘’“”éèêàâôûçñüäö"
 FOLD_TO = "--''\"\"eeeaaoucnuao"
 FOLD_LONG = {"…": "...", "ß": "ss"}
+_TOKENS = re.compile("[a-z']+")
 
 
 def strip(c: Column) -> Column:
@@ -69,9 +70,22 @@ def max_repeat_fraction(t: Column) -> Column:
     return F.when(F.size(t) == 0, 0.0).otherwise(run["m"] / F.size(t))
 
 
-def lexical_overlap(src: Column, cand: Column) -> Column:
-    """Share of candidate tokens, with multiplicity, that the source has; 0 if either side has none."""
-    return F.when((F.size(src) == 0) | (F.size(cand) == 0), 0.0).otherwise(F.size(F.filter(cand, lambda t: F.array_contains(src, t))) / F.size(cand))
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once for a row, however often f uses it inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+@F.pandas_udf(DoubleType())
+def lexical_overlap(src: pd.Series, cand: pd.Series) -> pd.Series:
+    """Share of candidate tokens, with multiplicity, that the source has; 0 if either side has none. Linear in both."""
+    return pd.Series([None if s is None or c is None else _share(s, c) for s, c in zip(src, cand)], dtype="float64")
+
+
+def _share(source, candidate) -> float:
+    if not len(source) or not len(candidate):
+        return 0.0
+    have = set(source)
+    return sum(t in have for t in candidate) / len(candidate)
 
 
 def longest_shared_ratio(src: Column, cand: Column, max_n: int = 4) -> Column:
@@ -90,14 +104,39 @@ def exact_copy(a: Column, b: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two normalised texts; null with a null side."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def _ratio(x: str, y: str) -> float:
+    return 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+
+
+_COPY_PARTS = ("exact_copy", "sequence_similarity", "lexical_overlap", "shared_ngram_ratio", "copy_penalty")
+
+
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in _COPY_PARTS]))
+def _copy_parts(src: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    """The four metrics and their weighted sum of normalised texts, each split into tokens once."""
+    rows = []
+    for x, y in zip(src, cand):
+        if x is None or y is None:
+            rows.append([None] * 5)
+            continue
+        s, c = _TOKENS.findall(x), _TOKENS.findall(y)
+        short, best = min(len(s), len(c), 4), 0
+        for n in range(short, 1, -1):
+            grams = lambda t: zip(*(t[k:] for k in range(n)))  # noqa: B023, E731
+            if not set(grams(s)).isdisjoint(grams(c)):
+                best = n
+                break
+        e, q, lex, shared = float(x == y), _ratio(x, y), _share(s, c), best / short if short > 1 else 0.0
+        rows.append([e, q, lex, shared, 1.5 * e + 0.5 * q + 0.3 * lex + 0.2 * shared])
+    return pd.DataFrame(rows, columns=list(_COPY_PARTS), dtype="float64")
 
 
 def copy_parts(src: Column, cand: Column) -> Column:
-    """Struct of the four copy metrics and their weighted sum."""
-    e, s = exact_copy(src, cand), sequence_ratio(normalize(src), normalize(cand))
-    lex, shared = lexical_overlap(tokens(src), tokens(cand)), longest_shared_ratio(tokens(src), tokens(cand))
-    return F.struct(e.alias("exact_copy"), s.alias("sequence_similarity"), lex.alias("lexical_overlap"), shared.alias("shared_ngram_ratio"), (1.5 * e + 0.5 * s + 0.3 * lex + 0.2 * shared).alias("copy_penalty"))
+    """Struct of the four copy metrics and their weighted sum; null metrics with a null side."""
+    return _copy_parts(normalize(src), normalize(cand))
 
 
 def fold_ascii(c: Column) -> Column:

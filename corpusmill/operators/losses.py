@@ -12,8 +12,14 @@ def mask_padding(ids: Column, pad: int, ignore: int = -100) -> Column:
 
 
 def clamp_ids(ids: Column, pad: int, vocabulary: int) -> Column:
-    """Missing or negative ids become pad, large ones the last id."""
-    return F.transform(ids, lambda x: F.when(x.isNull() | (x < 0), pad).otherwise(F.least(x, F.lit(vocabulary - 1))))
+    """Missing, NaN or negative ids become pad, large ones the last id."""
+    return F.transform(ids, lambda x: F.when(x.isNull() | F.isnan(x.cast("double")) | (x < 0), pad).otherwise(F.least(x, F.lit(vocabulary - 1))))
+
+
+def argmax_ids(scores: Column) -> Column:
+    """The index of the largest score of each row of a table of scores (the first of equal ones; NaN never wins)."""
+    best = lambda row: F.array_position(row, F.array_max(F.filter(row, lambda x: ~F.isnan(x)))) - 1
+    return F.transform(scores, lambda row: best(row).cast("int"))
 
 
 def truncate(tokens: Column, most: int) -> Column:
@@ -80,3 +86,22 @@ def wait_before(df: DataFrame, partition: list[str], ts: str, least: float, tie:
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = (us - F.lag(us).over(W.partitionBy(*partition).orderBy(us, tie))) / 1e6
     return df.withColumn("wait_s", F.round(F.greatest(F.lit(0.0), F.lit(least) - F.coalesce(gap, F.lit(least))), 6))
+
+
+def early_stop(df: DataFrame, partition: list[str], order: list[str], metric: str, patience: int = 2) -> DataFrame:
+    """The rows up to and including the one at which patience rows in a row have not beaten the best; with is_best."""
+    w = W.partitionBy(*partition).orderBy(*order)
+    d = best_so_far(df, partition, order, metric).withColumn("_i", F.row_number().over(w))
+    since = F.col("_i") - F.max(F.when(F.col("is_best"), F.col("_i"))).over(w)
+    d = d.withColumn("_stop", (since >= patience).cast("int"))
+    over = F.coalesce(F.max("_stop").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("_over", over).filter("_over = 0").drop("_i", "_stop", "_over")
+
+
+def token_budget(df: DataFrame, partition: list[str], ts: str, amount: str, cap: float, seconds: int = 60) -> DataFrame:
+    """Adds window_sum, blocked (the trailing sum exceeds the cap) and wait_s (until the window's oldest row leaves it)."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    d = rate_window(df, partition, ts, amount, seconds).withColumn("_us", us)
+    oldest = F.min("_us").over(W.partitionBy(*partition).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0))
+    d = d.withColumn("blocked", F.round("window_sum", 4) > cap)
+    return d.withColumn("wait_s", F.when(F.col("blocked"), F.round((seconds * 1_000_000 - (F.col("_us") - oldest)) / 1e6, 6)).otherwise(0.0)).drop("_us")

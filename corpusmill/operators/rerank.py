@@ -58,20 +58,36 @@ def weight_grid(spark: SparkSession, style, similarity, copy, fluency, margin) -
     return spark.createDataFrame(rows, "grid_id int, style_weight double, similarity_weight double, copy_weight double, fluency_weight double, margin double")
 
 
+def swept(cands: DataFrame, grid: DataFrame, group: str, position: str) -> DataFrame:
+    """(grid_id, best, pairs) for each grid row and candidate group.
+
+    Candidates are shuffled once, into one array a group (a group is the candidates of one
+    text, so it is small); the grid multiplies arithmetic inside the groups only. best is
+    the winner's style, similarity, copy and perplexity, pairs the number of candidate pairs
+    over the grid row's margin.
+    """
+    one = F.struct(F.col(position).alias("at"), "style", "similarity", "copy", "perplexity", F.ln(F.greatest("perplexity", F.lit(1e-8))).alias("fluency"))
+    groups = cands.groupBy(group).agg(F.collect_list(one).alias("c"))
+
+    def scored(x: Column) -> Column:
+        s = F.col("style_weight") * x["style"] + F.col("similarity_weight") * x["similarity"] - F.col("copy_weight") * x["copy"] - F.col("fluency_weight") * x["fluency"]
+        return F.struct(F.round(s, 6).alias("score"), (-x["at"]).alias("p"), x["style"].alias("style"), x["similarity"].alias("similarity"), x["copy"].alias("copy"), x["perplexity"].alias("perplexity"))
+
+    each = groups.crossJoin(F.broadcast(grid)).select("grid_id", "margin", F.transform("c", scored).alias("s"))
+    margin, near = F.col("margin"), 1e-5
+    # rounded differences, as reported, decide where they are close to the margin
+    over = lambda d: (d >= margin + near) | ((d > margin - near) & (F.round(d, 6) >= margin))
+    pairs = F.aggregate(F.transform("s", lambda x: x["score"]), F.lit(0), lambda n, v: n + F.size(F.filter("s", lambda o: (o["score"] < v) & over(v - o["score"]))))
+    return each.select("grid_id", F.array_max("s").alias("best"), pairs.alias("pairs"))
+
+
 def sweep(cands: DataFrame, grid: DataFrame, group: str, position: str) -> DataFrame:
     """One row of metrics for each grid row: winners' means and the count of pairs over the margin.
 
-    Candidates are scored once; the grid multiplies arithmetic only. cands has style,
-    similarity, copy, perplexity. Pairs over a margin are counted inside each small
-    candidate group.
+    cands has style, similarity, copy, perplexity.
     """
-    d = cands.crossJoin(F.broadcast(grid))
-    d = d.withColumn("score", F.round(F.col("style_weight") * F.col("style") + F.col("similarity_weight") * F.col("similarity") - F.col("copy_weight") * F.col("copy") - F.col("fluency_weight") * F.ln(F.greatest("perplexity", F.lit(1e-8))), 6))
-    per = d.groupBy("grid_id", "margin", group).agg(F.max_by(F.struct("style", "similarity", "copy", "perplexity"), F.struct("score", (-F.col(position)).alias("p"))).alias("b"), F.array_sort(F.collect_list("score")).alias("scores"))
-    pairs = F.aggregate("scores", F.lit(0), lambda n, s: n + F.size(F.filter("scores", lambda o: (o < s) & (F.round(s - o, 6) >= F.col("margin")))))
-    zero = F.when(F.col("margin") <= 0, F.lit(0))  # ties count only at margin 0, which the grids do not have
-    return per.select("grid_id", "b.*", (pairs + F.coalesce(zero, F.lit(0))).alias("pairs")).groupBy("grid_id").agg(
-        F.round(F.avg("style"), 6).alias("avg_style"), F.round(F.avg("similarity"), 6).alias("avg_similarity"), F.round(F.avg("copy"), 6).alias("avg_copy"), F.round(F.avg("perplexity"), 6).alias("avg_perplexity"), F.sum("pairs").alias("pair_count"))
+    mean = lambda c: F.round(F.avg(f"best.{c}"), 6).alias(f"avg_{c}")
+    return swept(cands, grid, group, position).groupBy("grid_id").agg(mean("style"), mean("similarity"), mean("copy"), mean("perplexity"), F.sum("pairs").alias("pair_count"))
 
 
 def selection_score(style, similarity, exact, near):

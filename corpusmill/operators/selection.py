@@ -29,7 +29,8 @@ def zscores(df: DataFrame, columns: list[str]) -> DataFrame:
 def argmax(df: DataFrame, keys: list[str], score: str, position: str) -> DataFrame:
     """The row of each group with the largest score; NaN and null scores and null keys never win; ties to the first.
 
-    One hash aggregation with map-side partial winners; no sort of a group.
+    One aggregation with map-side partial winners, so a group is never gathered (the plan
+    is a sort aggregate, as a struct has no mutable hash buffer).
     """
     ok = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     for k in keys:
@@ -60,6 +61,32 @@ def keep_first(df: DataFrame, keys: list[Column], position: str) -> DataFrame:
     return d.groupBy(*names).agg(F.min_by(F.struct(*df.columns), F.col(position)).alias("_r")).select("_r.*")
 
 
+def at_least(df: DataFrame, column: str, minimum: float) -> DataFrame:
+    """Rows with column >= minimum. A minimum of 0 or less keeps all rows, nulls too; a larger one drops nulls."""
+    return df.filter(F.col(column) >= minimum) if minimum > 0 else df
+
+
+def positions(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """Adds pos, the 0-based rank by a long key.
+
+    Ranks come from counts of key ranges and of ranges of those, so a task orders one range,
+    or the counts of width ranges; the last step orders one row for width * width keys.
+    """
+    b = df.withColumn("_b", F.floor(F.col(key) / width))
+    counts = b.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_t", F.floor(F.col("_b") / width))
+    running = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    tops = counts.groupBy("_t").agg(F.sum("_c").alias("_n"))
+    tops = tops.select("_t", (F.sum("_n").over(running(W.orderBy("_t"))) - F.col("_n")).alias("_above"))
+    within = counts.withColumn("_in", F.sum("_c").over(running(W.partitionBy("_t").orderBy("_b"))) - F.col("_c"))
+    before = within.join(tops, "_t").select("_b", (F.col("_above") + F.col("_in")).alias("_before"))
+    return b.join(before, "_b").withColumn("pos", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1).drop("_b", "_before")
+
+
+def drop_first(df: DataFrame, key: str, k: int) -> DataFrame:
+    """All rows but the k first by a long key."""
+    return positions(df, key).filter(F.col("pos") >= k).select(df.columns)
+
+
 def uniform(seed: int | Column, key: Column) -> Column:
     """A number in [0, 1) from md5 of seed and key."""
     s = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
@@ -107,6 +134,11 @@ def split(df: DataFrame, key: str, seed: int | Column = 42, partition: list[str]
     return d.withColumn("split", F.when(r <= a, names[0]).when(r <= b, names[1]).otherwise(names[2])).drop("_r", "_n")
 
 
+def combine_splits(df: DataFrame, key: str, seed: int = 42, column: str = "split") -> DataFrame:
+    """Rows split by source, put together for each split and shuffled anew with seed + 2: adds position, from 1."""
+    return hash_rank(df, key, seed + 2, [column]).withColumnRenamed("_r", "position").drop("_n")
+
+
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done; repeats and null keys survive. Spark broadcasts done only below its size threshold."""
     return df.join(done.select(key).distinct(), key, "left_anti")

@@ -15,11 +15,21 @@ def describe(df: DataFrame, c: str, digits: int = 6) -> DataFrame:
     return df.agg(F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"), r(F.min(c)).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), r(F.max(c)).alias("max"))
 
 
-def average_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
-    """Adds average ranks (ties share their mean). Ranks come from value counts, so only distinct values are ordered."""
+def average_ranks(df: DataFrame, c: str, out: str, ranges: int = 256) -> DataFrame:
+    """Adds average ranks (ties share their mean). Ranks come from value counts, ordered range by range.
+
+    Ranges of equal numbers of rows are cut at approximate quantiles, so a task orders the
+    distinct values of one range, and one task the totals of the ranges.
+    """
     counts = df.groupBy(c).agg(F.count("*").alias("_c"))
-    w = W.orderBy(c)
-    ranks = counts.select(F.col(c).alias("_v"), (F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - (F.col("_c") - 1) / 2).alias(out))
+    cuts = df.agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    b = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col(c))) if cuts else F.lit(0)
+    counts = counts.withColumn("_b", b)
+    running = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
+    totals = counts.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    totals = totals.select("_b", (F.sum("_n").over(running(W.orderBy("_b"))) - F.col("_n")).alias("_before"))
+    within = F.sum("_c").over(running(W.partitionBy("_b").orderBy(c)))
+    ranks = counts.join(F.broadcast(totals), "_b").select(F.col(c).alias("_v"), (F.col("_before") + within - (F.col("_c") - 1) / 2).alias(out))
     return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
 
 
@@ -55,6 +65,16 @@ def correlation_p_value(r: float, n: int) -> float:
     return 1 - front * fraction(b, a, 1 - x) / b
 
 
+def correlations(df: DataFrame, x: str, y: str) -> dict[str, float]:
+    """Pearson's and Spearman's coefficients with their two-sided p-values, over rows that have both."""
+    d = df.select(x, y).na.drop()
+    row = d.agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).first()
+    out = {"n": row["n"], "pearson": row["r"], "spearman": spearman(d, x, y).first()["spearman"]}
+    for k in ("pearson", "spearman"):
+        out[f"{k}_p"] = None if out[k] is None else correlation_p_value(out[k], row["n"])
+    return out
+
+
 def conclusion(r: Column) -> Column:
     return F.when(r < -0.3, "negative").when(r > 0.3, "positive").otherwise("weak")
 

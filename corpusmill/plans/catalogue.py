@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusmill.functions import jsonrepair, scorers
+from corpusmill.functions import jsonrepair, providers, runs, scorers
 from corpusmill.functions import text as T
 from corpusmill.operators import losses, ngrams, rerank, selection, stats
 from corpusmill.runtime import Scratch, ship
@@ -30,6 +30,7 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -89,9 +90,10 @@ def confidence_rescale(spark, d):
 @query("WITH z AS (SELECT l_orderkey, l_linenumber, (l_extendedprice-mc)/sc zc, (l_quantity-ms)/ss zs FROM lineitem, (SELECT avg(l_extendedprice) mc, stddev_samp(l_extendedprice) sc, avg(l_quantity) ms, stddev_samp(l_quantity) ss FROM lineitem)), g AS (SELECT a/10.0 alpha, l_orderkey, max(round(zs*(a/10.0) + zc*(1-a/10.0), 6)) v FROM z, range(0, 11) r(a) GROUP BY ALL), m AS (SELECT alpha, avg(v) mu FROM g GROUP BY alpha) SELECT format('a={:.1f}', g.alpha) AS label, round(avg(v), 6) AS mean, round(avg((v-mu)^3)/power(avg((v-mu)^2), 1.5), 4) AS skew, round(avg((v-mu)^4)/power(avg((v-mu)^2), 2) - 3, 4) AS kurt FROM g JOIN m USING (alpha) GROUP BY g.alpha")
 def alpha_sweep_moments(spark, d):
     z = selection.zscores(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"), ["l_extendedprice", "l_quantity"])
-    grid = spark.range(11).select((F.col("id") / 10.0).alias("alpha"))
-    v = r6(F.col("l_quantity_norm") * F.col("alpha") + F.col("l_extendedprice_norm") * (1 - F.col("alpha")))
-    g = z.crossJoin(F.broadcast(grid)).groupBy("alpha", "l_orderkey").agg(F.max(v).alias("v"))
+    alphas = [i / 10 for i in range(11)]
+    # one aggregation with a column for each alpha: rows are not multiplied before the shuffle
+    best = z.groupBy("l_orderkey").agg(*[r6(F.max(F.col("l_quantity_norm") * a + F.col("l_extendedprice_norm") * (1 - a))).alias(f"v{i}") for i, a in enumerate(alphas)])
+    g = best.select(F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"v{i}").alias("v")) for i, a in enumerate(alphas)])).alias("x")).select("x.*")
     return g.groupBy("alpha").agg(r6(F.avg("v")).alias("mean"), F.round(F.skewness("v"), 4).alias("skew"), F.round(F.kurtosis("v"), 4).alias("kurt")).select(F.format_string("a=%.1f", "alpha").alias("label"), "mean", "skew", "kurt")
 
 
@@ -153,6 +155,18 @@ def threshold_filter(spark, d):
     return t(spark, d, "labels").filter((q >= 0.5) & (x >= 0.0)).select("doc_id", "quality")
 
 
+@query("SELECT doc_id, 'any' AS minimum FROM labels UNION ALL SELECT doc_id, 'half' FROM labels WHERE quality >= 0.5")
+def conditional_threshold(spark, d):
+    lab = t(spark, d, "labels").select("doc_id", "quality")
+    a, b = (selection.at_least(lab, "quality", m).select("doc_id", F.lit(n).alias("minimum")) for m, n in ((0.0, "any"), (0.5, "half")))
+    return a.unionByName(b)
+
+
+@query("SELECT doc_id, lang FROM documents")
+def drop_passthrough(spark, d):
+    return t(spark, d, "documents").select("doc_id", "lang", "n_chars").drop("n_chars")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity/50 > 0.5")
 def strict_truncation(spark, d):
     return t(spark, d, "lineitem").filter("l_quantity/50 > 0.5").select("l_orderkey", "l_linenumber")
@@ -183,6 +197,13 @@ def real_positional_split(spark, d):
     return selection.with_one_row(t(spark, d, "documents").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")), k).select((F.col("n") - F.col("k")).alias("left_rows"), "first_id")
 
 
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) rn FROM documents) WHERE rn > (SELECT count(*) FROM labels WHERE quality = 1)")
+def positional_rest(spark, d):
+    """The literal form: as many leading rows go as there are winners."""
+    k = t(spark, d, "labels").filter("quality = 1").count()
+    return selection.drop_first(t(spark, d, "documents").select("doc_id"), "doc_id", k)
+
+
 @query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality > 0.5 AND l.toxic < 0.5")
 def good_slice(spark, d):
     return t(spark, d, "documents").join(t(spark, d, "labels").filter("quality > 0.5 and toxic < 0.5"), "doc_id").select("doc_id")
@@ -255,8 +276,7 @@ def repetition_weight(spark, d):
 @query(f"WITH g AS {NG}, o AS (SELECT gram, count(*) n FROM g GROUP BY gram HAVING count(*) >= 75), h AS (SELECT doc_id, gram, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) rn FROM g JOIN o USING (gram)) SELECT doc_id, round(sum(ln(1 + n::DOUBLE)), 4) AS penalty, string_agg(CASE WHEN rn <= 10 THEN gram END, '|' ORDER BY rn) AS phrases FROM h GROUP BY doc_id ORDER BY penalty DESC, doc_id LIMIT 25")
 def top_downweighted(spark, d):
     en = english(spark, d)
-    g = en.select("doc_id", F.explode(T.ngram_set(T.tokens(F.col("text")), (2, 3))).alias("gram"))
-    h = g.join(ngrams.overused(en, "text", 75), "gram")
+    h = ngrams.hits(en, "doc_id", "text", ngrams.overused(en, "text", 75))
     agg = h.groupBy("doc_id").agg(F.round(F.sum(F.log1p(F.col("n").cast("double"))), 4).alias("penalty"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "gram"))).alias("p"))
     return agg.orderBy(F.desc("penalty"), "doc_id").limit(25).select("doc_id", "penalty", F.array_join(F.transform(F.slice("p", 1, 10), lambda s: s["gram"]), "|").alias("phrases"))
 
@@ -269,9 +289,8 @@ def opening_templates(spark, d):
 @query(f"WITH w AS (SELECT doc_id, unnest({TOKENS % 'text'}) w FROM documents), c AS (SELECT doc_id, w, count(*) n FROM w GROUP BY ALL), m AS (SELECT doc_id, round(max(n)/sum(n), 6) f FROM c GROUP BY doc_id) SELECT doc_id, coalesce(f, 0) AS repeat_fraction, coalesce(f, 0) >= 0.35 AS is_high_repeat FROM documents LEFT JOIN m USING (doc_id)")
 def token_repeat(spark, d):
     docs = t(spark, d, "documents")
-    c = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    m = c.groupBy("doc_id").agg(r6(F.max("n") / F.sum("n")).alias("f"))
-    return docs.select("doc_id").join(m, "doc_id", "left").select("doc_id", F.coalesce("f", F.lit(0.0)).alias("repeat_fraction"), (F.coalesce("f", F.lit(0.0)) >= 0.35).alias("is_high_repeat"))
+    f = F.coalesce(r6(T.max_repeat_fraction(T.tokens(F.col("text")))), F.lit(0.0))
+    return docs.select("doc_id", f.alias("repeat_fraction")).withColumn("is_high_repeat", F.col("repeat_fraction") >= 0.35)
 
 
 _COPY = f"SELECT conv_id, turn, src, cand, {TOKENS % 'src'} s, {TOKENS % 'cand'} c FROM ({PAIRS})"
@@ -331,10 +350,17 @@ def dedupe_keep_first(spark, d):
     return selection.keep_first(keyed, [F.col("k"), F.col("l")], "doc_id").select("doc_id")
 
 
-@query(f"SELECT conv_id, count(*) AS kept, min(turn) AS first_turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, {SQUEEZE % 'lower(text)'} ORDER BY turn) rn FROM conversations WHERE {SQUEEZE % 'text'} <> '') WHERE rn = 1 GROUP BY conv_id")
+@query(f"SELECT conv_id, coalesce(count(turn), 0)::BIGINT AS kept, md5(coalesce(string_agg(text, chr(10) ORDER BY turn), '')) AS texts FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id, {SQUEEZE % 'lower(text)'} ORDER BY turn) rn FROM conversations WHERE {SQUEEZE % 'text'} <> '') USING (conv_id) WHERE rn IS NULL OR rn = 1 GROUP BY conv_id")
 def candidate_dedupe(spark, d):
-    c = t(spark, d, "conversations").select("conv_id", "turn", T.normalize(F.col("text")).alias("k")).filter("k <> ''")
-    return c.groupBy("conv_id", "k").agg(F.min("turn").alias("turn")).groupBy("conv_id").agg(F.count("*").alias("kept"), F.min("turn").alias("first_turn"))
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c"))
+    kept = F.filter(scorers.dedupe_candidates(F.col("c.text")), lambda x: x != "")
+    return c.select("conv_id", F.size(kept).cast("long").alias("kept"), F.md5(F.array_join(kept, "\n")).alias("texts"))
+
+
+@query("SELECT l_orderkey, string_agg(k, ',' ORDER BY p, k) AS kept FROM (SELECT l_orderkey, k, min(l_linenumber) p, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), k) rn FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus k FROM lineitem) GROUP BY 1, 2) WHERE rn <= 2 GROUP BY 1")
+def truncate_candidates(spark, d):
+    g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("k")))).alias("c"))
+    return g.select("l_orderkey", F.array_join(scorers.first_distinct(F.col("c.k"), 2), ",").alias("kept"))
 
 
 @query(f"SELECT p_partkey, p_retailprice FROM part ORDER BY round(-ln(greatest({U % ('42', 'p_partkey')}, 1e-12))/greatest(p_retailprice, 1e-8), 9), p_partkey LIMIT 500")
@@ -370,20 +396,17 @@ def split_breakdown(spark, d):
 def batch_index(spark, d):
     lab = t(spark, d, "labels").select("doc_id")
     n = lab.agg(F.ceil(F.count("*") / 10).alias("batches"))
-    return selection.with_one_row(positions(lab, "doc_id"), n).select("doc_id", (F.floor(F.col("pos") / 10) + 1).alias("batch"), "batches")
-
-
-def positions(df: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """Adds pos, the 0-based rank by a long key, from counts of key ranges: no partition holds the table."""
-    b = df.withColumn("_b", F.floor(F.col(key) / width))
-    w = W.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    before = b.groupBy("_b").agg(F.count("*").alias("_c")).select("_b", (F.sum("_c").over(w) - F.col("_c")).alias("_before"))
-    return b.join(before, "_b").withColumn("pos", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1).drop("_b", "_before")
+    return selection.with_one_row(selection.positions(lab, "doc_id"), n).select("doc_id", (F.floor(F.col("pos") / 10) + 1).alias("batch"), "batches")
 
 
 @query("SELECT doc_id, quality, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT % 4 AS worker FROM labels")
 def rank_stride(spark, d):
-    return positions(t(spark, d, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", (F.col("pos") % 4).alias("worker"))
+    return selection.positions(t(spark, d, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", (F.col("pos") % 4).alias("worker"))
+
+
+@query(f"SELECT c_custkey, split, row_number() OVER (PARTITION BY split ORDER BY md5('44|' || c_custkey), c_custkey)::BIGINT AS position FROM (SELECT c_custkey, {_SPLIT % ('floor(n*0.8)', 'floor(n*0.9)', 'val', 'test')} AS split FROM {_RANK % ('PARTITION BY c_mktsegment', 'PARTITION BY c_mktsegment')})")
+def combined_splits(spark, d):
+    return selection.combine_splits(split_by_source(spark, d).select("c_custkey", "split"), "c_custkey", seed=42)
 
 
 @query("SELECT doc_id, quality, n_chars FROM labels JOIN documents USING (doc_id) ORDER BY quality DESC, n_chars DESC, doc_id")
@@ -418,6 +441,12 @@ def best_checkpoint_flags(spark, d):
     return losses.best_so_far(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", "o_orderkey", "is_best")
 
 
+@query("WITH f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) i, o_totalprice > coalesce(max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) b FROM orders), g AS (SELECT *, i - max(CASE WHEN b THEN i END) OVER (PARTITION BY o_custkey ORDER BY i) since FROM f) SELECT o_custkey, o_orderkey, b AS is_best FROM (SELECT *, coalesce(max(CASE WHEN since >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) past FROM g) WHERE past = 0")
+def early_stop(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return losses.early_stop(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", patience=2).select("o_custkey", "o_orderkey", "is_best")
+
+
 @query("SELECT p_partkey, p_retailprice - avg(p_retailprice) OVER () > 0 AS above, round(sum(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey), 4) AS running FROM part")
 def cumulative_weight(spark, d):
     p = t(spark, d, "part")
@@ -465,11 +494,9 @@ def reranker_sweep(spark, d):
 
 @query(f"{_SWEEP} SELECT w.grid_id, round(2*avg(style) + avg(similarity) - avg(CASE WHEN copy >= 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN copy >= 0.9 THEN 1.0 ELSE 0.0 END), 6) AS selection_score FROM w GROUP BY w.grid_id ORDER BY 2 DESC, 1 LIMIT 1")
 def sweep_best(spark, d):
-    x = scored(spark, d).drop("score").crossJoin(F.broadcast(_grid(spark)))
-    x = x.withColumn("score", r6(F.col("style_weight") * F.col("style") + F.col("similarity_weight") * F.col("similarity") - F.col("copy_weight") * F.col("copy") - F.col("fluency_weight") * F.ln(F.greatest("perplexity", F.lit(1e-8)))))
-    b = x.groupBy("grid_id", "l_orderkey").agg(F.max_by(F.struct("style", "similarity", "copy"), F.struct("score", (-F.col("l_linenumber")).alias("p"))).alias("b"))
-    rate = lambda at: F.avg((F.col("b.copy") >= at).cast("double"))
-    return b.groupBy("grid_id").agg(r6(rerank.selection_score(F.avg("b.style"), F.avg("b.similarity"), rate(1.0), rate(0.9))).alias("selection_score")).orderBy(F.desc("selection_score"), "grid_id").limit(1)
+    b = rerank.swept(scored(spark, d).drop("score"), _grid(spark), "l_orderkey", "l_linenumber")
+    rate = lambda at: F.avg((F.col("best.copy") >= at).cast("double"))
+    return b.groupBy("grid_id").agg(r6(rerank.selection_score(F.avg("best.style"), F.avg("best.similarity"), rate(1.0), rate(0.9))).alias("selection_score")).orderBy(F.desc("selection_score"), "grid_id").limit(1)
 
 
 # Scores and losses -----------------------------------------------------------
@@ -570,7 +597,7 @@ def hist2d(spark, d):
     return stats.histogram2d(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 100)
 
 
-@query()
+@query("WITH s AS (SELECT (l_quantity - a)/((b - a)/40) u, (l_extendedprice - x)/((y - x)/23) v FROM lineitem, (SELECT min(l_quantity) a, max(l_quantity) b, min(l_extendedprice) x, max(l_extendedprice) y FROM lineitem)), f AS (SELECT *, power(u - floor(u + 0.5), 2) + 3*power(v - floor(v + 0.5), 2) < power(u - floor(u) - 0.5, 2) + 3*power(v - floor(v) - 0.5, 2) AS first FROM s) SELECT CASE WHEN first THEN 0 ELSE 1 END AS lattice, CASE WHEN first THEN floor(u + 0.5) ELSE floor(u) END::INT AS i, CASE WHEN first THEN floor(v + 0.5) ELSE floor(v) END::INT AS j, count(*) AS n FROM f GROUP BY ALL")
 def hexbin(spark, d):
     return stats.hexbin(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
 
@@ -601,10 +628,10 @@ def scalar_math(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(F.log1p("l_quantity")).alias("a"), r6(F.ln(F.greatest("l_extendedprice", F.lit(1e-8)))).alias("b"), r6(F.exp(-F.col("l_discount"))).alias("c"))
 
 
-@query("SELECT event_id, format('{:02d}:{:02d}:{:02d}', event_id // 3600, (event_id // 60) % 60, event_id % 60) AS duration, least(15*(event_id % 20), 120)::BIGINT AS backoff, floor(event_id*0.05)::BIGINT AS warmup, round(event_id*0.7/greatest(event_id, 1)*(100000 - event_id), 3) AS eta_s FROM events")
+@query("SELECT event_id, format('{:02d}:{:02d}:{:02d}', event_id // 3600, (event_id // 60) % 60, event_id % 60) AS duration, least(15*(event_id % 20), 120)::BIGINT AS backoff, 5*(event_id % 7) AS failure_wait, floor(event_id*0.05)::BIGINT AS warmup, round(event_id*0.7/greatest(event_id, 1)*(100000 - event_id), 3) AS eta_s FROM events")
 def run_arithmetic(spark, d):
     e = F.col("event_id")
-    return t(spark, d, "events").select("event_id", F.format_string("%02d:%02d:%02d", F.floor(e / 3600), F.floor(e / 60) % 60, e % 60).alias("duration"), F.least(15 * (e % 20), F.lit(120)).alias("backoff"), F.floor(e * 0.05).alias("warmup"), F.round(e * 0.7 / F.greatest(e, F.lit(1)) * (100000 - e), 3).alias("eta_s"))
+    return t(spark, d, "events").select("event_id", runs.duration(e).alias("duration"), runs.backoff(e % 20).alias("backoff"), runs.failure_wait(e % 7).alias("failure_wait"), runs.warmup_steps(e, 0.05).alias("warmup"), F.round(F.coalesce(runs.time_left(e * 0.7, e, F.lit(100000)), F.lit(0.0)), 3).alias("eta_s"))
 
 
 @query("SELECT event_type, count(*) AS calls, round(sum(620*0.1 + value*0.4), 4) AS cost FROM events GROUP BY event_type")
@@ -627,12 +654,13 @@ def json_salvage(spark, d):
     return t(spark, d, "events").select("event_id", F.size(jsonrepair.salvage(cut, "struct<a:string>")).cast("long").alias("salvaged"), F.size(jsonrepair.headlines(fenced)).cast("long").alias("fenced"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id + 5 ELSE 65 END AS delay, CASE WHEN event_id % 2 = 0 THEN 'rate' ELSE 'other' END AS kind FROM events WHERE event_id < 2000000000")
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id % 1000 + 5 ELSE 65 END AS delay, ['rate', 'unavailable', 'unavailable', 'other'][event_id % 4 + 1] AS kind FROM events")
 def retry_delay_parse(spark, d):
     e = F.col("event_id")
-    msg = F.when(e % 2 == 0, F.concat(F.lit("Error 429: Please Retry in "), e, F.lit("s"))).otherwise(F.lit("connection reset"))
-    x = t(spark, d, "events").filter("event_id < 2000000000").withColumn("m", msg)
-    return x.select("event_id", jsonrepair.retry_delay(F.col("m")).cast("long").alias("delay"), F.when(e % 2 == 0, "rate").otherwise(jsonrepair.error_class(F.col("m"))).alias("kind"))
+    delay = F.concat(F.lit("Error 429: Please Retry in "), e % 1000, F.lit("s"))
+    msg = F.when(e % 4 == 0, delay).when(e % 4 == 1, "code 503, try later").when(e % 4 == 2, "status: UNAVAILABLE").otherwise("connection reset")
+    x = t(spark, d, "events").select("event_id", msg.alias("m"))
+    return x.select("event_id", jsonrepair.retry_delay(F.col("m")).cast("long").alias("delay"), jsonrepair.error_class(F.col("m")).alias("kind"))
 
 
 @query("SELECT l_returnflag AS baseline, round(avg(l_discount), 4) AS style_accuracy, round(avg(l_tax), 4) AS exact_copy_rate FROM lineitem GROUP BY 1")
@@ -669,6 +697,24 @@ def csv_roundtrip(spark, d):
     return io.read_csv(spark, f"{s.path}/x", "doc_id long, lang string, source string, n_chars long")
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS price, p_name FROM part")
+def csv_inferred(spark, d):
+    """Types come from the data; the usual texts for missing values become null."""
+    s = Scratch(spark, "inferred")
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice").cast("string")).otherwise(F.when(F.col("p_partkey") % 2 == 0, "N/A").otherwise("nan")).alias("price"), "p_name")
+    io.write_csv(p, f"{s.path}/x")
+    return io.read_csv(spark, f"{s.path}/x", na=io.NA_TEXTS, infer=True).select(F.col("p_partkey").cast("long").alias("p_partkey"), "price", "p_name")
+
+
+@query("SELECT doc_id, text, lang FROM documents WHERE lang <> 'en'")
+def json_ascii_roundtrip(spark, d):
+    s = Scratch(spark, "ascii")
+    io.write_jsonl(t(spark, d, "documents").filter("lang <> 'en'").select("doc_id", "text", "lang"), f"{s.path}/x", ascii_only=True)
+    lines = spark.read.text(f"{s.path}/x")
+    bad = lines.filter(F.length("value") != F.octet_length("value")).select(F.lit(-1).cast("long").alias("doc_id"), F.col("value").alias("text"), F.lit("").alias("lang"))
+    return io.read_jsonl(spark, f"{s.path}/x", "doc_id long, text string, lang string", "fail")[0].unionByName(bad)
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def json_roundtrip(spark, d):
     s = Scratch(spark, "json")
@@ -680,10 +726,10 @@ def json_roundtrip(spark, d):
 def json_array_scan(spark, d):
     s = Scratch(spark, "array")
     c = t(spark, d, "conversations").select("conv_id", "turn", "role")
-    docs = c.groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "role"))).alias("value")).select("value")
-    docs.write.text(f"{s.path}/x")
-    lines = spark.read.text(f"{s.path}/x")
-    return lines.select(F.explode(F.from_json("value", "array<struct<conv_id:long,turn:long,role:string>>")).alias("r")).select("r.*")
+    # one array document a file: a part file holds one pretty array over several lines
+    docs = c.groupBy(F.pmod("conv_id", F.lit(8)).alias("g")).agg(F.to_json(F.collect_list(F.struct("conv_id", "turn", "role")), {"pretty": "true"}).alias("value"))
+    docs.write.partitionBy("g").text(f"{s.path}/x")
+    return io.read_json_array(spark, f"{s.path}/x", "conv_id long, turn long, role string").select("conv_id", "turn", "role")
 
 
 @query(f"{_K} SELECT l_orderkey % 2 AS split, count(*) AS n FROM ({_CR} WHERE c.rk = 1 AND r.rk = r.n AND r.n > 1 AND round(c.score - r.score, 6) >= 0.05 AND c.txt <> r.txt) GROUP BY 1")
@@ -704,6 +750,11 @@ def rate_window_60s(spark, d):
     return losses.rate_window(t(spark, d, "events"), ["user_id"], "ts", "value").select("event_id", F.round("window_sum", 4).alias("window_sum"))
 
 
+@query("SELECT event_id, round(sum(value) OVER w, 4) > 500 AS blocked, CASE WHEN round(sum(value) OVER w, 4) > 500 THEN round((60000000 - (epoch_us(ts) - min(epoch_us(ts)) OVER w))/1e6, 6) ELSE 0.0 END AS wait_s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+def token_budget(spark, d):
+    return losses.token_budget(t(spark, d, "events"), ["user_id"], "ts", "value", 500.0).select("event_id", "blocked", "wait_s")
+
+
 @query("SELECT event_id, round(greatest(0, 3.0 - coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id))/1e6, 3.0)), 6) AS wait_s FROM events")
 def min_gap(spark, d):
     return losses.wait_before(t(spark, d, "events"), ["user_id"], "ts", 3.0, "event_id").select("event_id", "wait_s")
@@ -731,6 +782,18 @@ def append_resume_stream(spark, d):
     return spark.read.schema("event_id long, event_type string").parquet(f"{s.path}/out").select("event_id", "event_type")
 
 
+def _echo(texts: list[str]) -> list[list[str]]:
+    """A provider for tests: the first three words, then the text, then the first three words again."""
+    return [[" ".join(x.split()[:3]), x, " ".join(x.split()[:3])] for x in texts]
+
+
+@query("SELECT conv_id, turn, CASE WHEN md5(first) = md5(src) THEN 1 ELSE 2 END AS candidates, md5(first) AS first FROM (SELECT conv_id, turn, src, array_to_string(string_split(src, ' ')[1:3], ' ') AS first FROM (SELECT conv_id, turn, text AS src FROM conversations WHERE role = 'user')) WHERE regexp_full_match(src, '[a-zA-Z.,]+( [a-zA-Z.,]+)*')")
+def provider_candidates(spark, d):
+    u = t(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("src")).filter(F.col("src").rlike("^[a-zA-Z.,]+( [a-zA-Z.,]+)*$"))
+    made = providers.generate(u, "src", _echo).withColumn("c", scorers.dedupe_candidates(F.col("candidates")))
+    return made.select("conv_id", "turn", F.size("c").alias("candidates"), F.md5(F.col("c")[0]).alias("first"))
+
+
 # Scorers and the whole mixture -----------------------------------------------
 @query()
 def score_fan_in(spark, d):
@@ -739,7 +802,10 @@ def score_fan_in(spark, d):
     return s.withColumn("score", r6(rerank.linear_score(F.col("style"), F.col("similarity"), F.col("copy"), F.col("perplexity"), rerank.PRESETS["rerank"]))).select("conv_id", "turn", "pos", "score")
 
 
-@query()
+_WEIGHT = f"WITH g AS {NG}, o AS (SELECT gram, count(*) n FROM g GROUP BY gram HAVING count(*) >= 75), p AS (SELECT doc_id, sum(ln(1 + n::DOUBLE)) p FROM g JOIN o USING (gram) GROUP BY doc_id), w AS (SELECT doc_id, text, round(1/(1+round(coalesce(p, 0), 6)), 6) weight FROM {EN} LEFT JOIN p USING (doc_id))"
+
+
+@query(f"{_WEIGHT}, s AS (SELECT doc_id, text, 'sampled' AS tag FROM w ORDER BY round(-ln(greatest({U % ('42', 'doc_id')}, 1e-12))/greatest(weight, 1e-8), 9), doc_id LIMIT (SELECT count(*) FROM documents WHERE lang <> 'en')), b AS (SELECT * FROM s UNION ALL SELECT doc_id, text, 'other' FROM documents WHERE lang <> 'en'), k AS (SELECT doc_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY tag, lower(text) ORDER BY doc_id) rn FROM b) WHERE rn = 1), r AS (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY md5(CASE WHEN tag = 'sampled' THEN '42' ELSE '43' END || '|' || doc_id), doc_id) r, count(*) OVER (PARTITION BY tag) n FROM k) SELECT {_SPLIT % ('floor(n*0.8)', 'floor(n*0.9)', 'val', 'test')} AS split, tag, count(*) AS n FROM r GROUP BY ALL")
 def mixture_build(spark, d):
     """Weighted sample of English documents, de-duplicated, split by source: counts by split and source."""
     en = english(spark, d)

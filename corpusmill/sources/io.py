@@ -6,13 +6,17 @@ import json
 import os
 import re
 import time
+import zipfile
 from dataclasses import dataclass, fields
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NA_TEXTS = ("NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "")
 BAD = "_bad"
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
 def read_jsonl(spark: SparkSession, path, schema: str, on_error: str = "skip", required: list[str] | None = None, defaults: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -47,12 +51,20 @@ def read_json_array(spark: SparkSession, path, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_csv(spark: SparkSession, path, schema: str | None = None, na: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header; without a schema all columns are strings; na texts become null."""
+def read_csv(spark: SparkSession, path, schema: str | None = None, na: tuple[str, ...] = (), infer: bool = False) -> DataFrame:
+    """CSV with a header; without a schema all columns are strings, or of the type that all their values have with infer.
+
+    na texts become null, before types are inferred. Inference is one aggregation over all rows.
+    """
     r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
     df = (r.schema(schema) if schema else r).csv(path)
     if na:
         df = df.select([F.when(~F.col(c).isin(*na), F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+    if infer and not schema:
+        kinds = ("long", "double", "boolean")
+        fits = df.agg(*[F.coalesce(F.bool_and(F.col(c).try_cast(k).isNotNull() | F.col(c).isNull()), F.lit(True)).alias(f"{i}{k}") for i, c in enumerate(df.columns) for k in kinds]).first()
+        chosen = [next((k for k in kinds if fits[f"{i}{k}"]), "string") for i in range(len(df.columns))]
+        df = df.select([F.col(c).try_cast(k).alias(c) for c, k in zip(df.columns, chosen)])
     return df
 
 
@@ -116,8 +128,18 @@ def read_logs(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", ascii_only: bool = False) -> None:
+    """One object a line; ascii_only writes what is beyond ASCII as escapes."""
+    if not ascii_only:
+        df.write.mode(mode).json(path)
+        return
+
+    @F.pandas_udf("string")
+    def escaped(lines: pd.Series) -> pd.Series:
+        beyond = re.compile(r"[^\x00-\x7f]+")
+        return lines.map(lambda line: beyond.sub(lambda m: json.dumps(m[0])[1:-1], line))
+
+    df.select(escaped(F.to_json(F.struct(*df.columns))).alias("value")).write.mode(mode).text(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -146,6 +168,50 @@ def sheet_widths(df: DataFrame) -> DataFrame:
     return df.agg(*[F.least(F.greatest(F.max(F.length(F.col(c).cast("string"))), F.lit(len(c))) + 4, F.lit(60)).alias(c) for c in df.columns])
 
 
+def write_xlsx(df: DataFrame, path: str, limit: int = 100_000) -> None:
+    """A small result as a spreadsheet: bold header, columns as wide as sheet_widths says, rows 15 points high.
+
+    More rows than limit are an error, not cut. Written with the standard library.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} rows: write CSV instead")
+    widths = [min(max(len(c), *(len(str(r[c])) for r in rows if r[c] is not None), 0) + 4, 60) for c in df.columns]
+
+    def cell(v, style: int) -> str:
+        if v is None:
+            return f'<c s="{style}"/>'
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v and abs(v) != float("inf"):
+            return f'<c s="{style}"><v>{v}</v></c>'
+        return f'<c s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", str(v)))}</t></is></c>'
+
+    line = lambda values, style: '<row ht="15" customHeight="1">' + "".join(cell(v, style) for v in values) + "</row>"
+    main, head = "http://schemas.openxmlformats.org/", '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
+    font = "<font>%s<sz val=\"11\"/><name val=\"Calibri\"/></font>"
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="{main}package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{main}package/2006/relationships"><Relationship Id="rId1" Type="{main}officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{main}package/2006/relationships"><Relationship Id="rId1" Type="{main}officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{main}officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}spreadsheetml/2006/main" xmlns:r="{main}officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}spreadsheetml/2006/main"><fonts count="2">{font % ""}{font % "<b/>"}</fonts><fills count="1"><fill><patternFill patternType="none"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf fontId="0"/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}spreadsheetml/2006/main"><cols>{cols}</cols><sheetData>{line(df.columns, 1)}{"".join(line(r, 0) for r in rows)}</sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in parts.items():
+            z.writestr(name, head + body)
+
+
+def require_model(path: str, fetch=None) -> str:
+    """The folder of a model that is there already, else what fetch() makes of it; without fetch an error."""
+    if os.path.isdir(path) and os.listdir(path):
+        return path
+    if fetch is None:
+        raise FileNotFoundError(f"no model in {path}")
+    fetch(path)
+    return path
+
+
 def output_name(model_path: str, suffix: str) -> str:
     """Name of a result file: the parent's name when the leaf is final or checkpoint-*."""
     parts = os.path.normpath(model_path).split(os.sep)

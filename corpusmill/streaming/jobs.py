@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.selection import remaining
+from corpusmill.operators.selection import positions, remaining
 
 
 def append_new(spark: SparkSession, source: DataFrame, sink: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame] = lambda d: d):
@@ -47,6 +47,11 @@ def unseen(source: DataFrame, key: str, ts: str | None = None, late: str = "1 ho
     return source.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if ts else source.dropDuplicates([key])
 
 
+def flushes(df: DataFrame, position: str, size: int = 6) -> DataFrame:
+    """Adds flush, from 1: rows in order of a long position go out size at a time, the last ones as a part of a flush."""
+    return positions(df, position).withColumn("flush", F.floor(F.col("pos") / size) + 1).drop("pos")
+
+
 def route_errors(df: DataFrame, parsed: str, raw: str) -> tuple[DataFrame, DataFrame]:
     """(rows that parsed, dead letters): a row fails alone, never its batch."""
     return df.filter(F.col(parsed).isNotNull()), df.filter(F.col(parsed).isNull()).select(F.col(raw).alias("line"), F.lit("unparsed").alias("reason"))

@@ -22,10 +22,13 @@ def rows(cols, data):
 def test_query(spark, sf, name):
     df = QUERIES[name](spark, sf)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    assert got
-    if name in ORACLE_SQL:
+    if name not in ORACLE_SQL:
+        assert got
+    else:
         con = duckdb.connect()
         for x in os.listdir(sf):
             con.execute(f"CREATE VIEW {x.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{x}'")
         r = con.execute(ORACLE_SQL[name])
+        # some n-grams are overused in larger tables only: an empty result is then the oracle's too
+        assert got or name in ("overused_ngrams", "top_downweighted")
         assert got == rows([c[0] for c in r.description], r.fetchall())
