@@ -26,21 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among the rejected ids; null ids stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the toxicity models, fitted on the labelled ones, score at TOXIC or more."""
+    """Drops documents that the toxicity models, fitted on the labelled ones, score at TOXIC or more.
+
+    Every row is judged by its own text, whatever its id.
+    """
     model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model, threshold=TOXIC).filter("predicted = 1"))
+    return docs.filter(toxicity.score_of(spark, F.col("text"), model) < TOXIC)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a likely language."""
-    model = langid.fit(docs)
-    return _without(docs, langid.predict(docs, model).filter((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < MIN_LANGUAGE_SCORE)))
+    """Drops documents without a letter or without a likely language, each row by its own text."""
+    found = langid.prediction_of(spark, F.col("text"), langid.fit(docs))
+    return docs.filter((found["lang_pred"] != langid.UNDETERMINED) & (found["score"] >= MIN_LANGUAGE_SCORE))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +55,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage, edited or not."""
-    return _without(docs, decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")))
+    """Drops documents that hold a benchmark passage, edited or not, each row by its own text."""
+    return docs.filter(~decontaminate.holds_item(F.col("text"), decontaminate.seeds(docs, _table(spark, sf_dir, "benchmark"))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
