@@ -49,18 +49,18 @@ class Sample:
             labels.append(y)
         self.names, self.labels = list(ids), np.array(labels, int)
         self.size = max(len(ids), 1)
-        doc = np.repeat(np.arange(len(self.coded)), [len(c) for c in self.coded])
-        word = np.concatenate([np.zeros(0, np.int64), *self.coded]).astype(np.int64)
+        doc = np.repeat(np.arange(len(self.coded), dtype=np.int32), [len(c) for c in self.coded])
+        word = np.concatenate([np.zeros(0, np.int32), *self.coded])
         self.words = self._per_document(doc, word, self.size)
         follows = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
-        self.pairs, pair = np.unique((word[:-1] * self.size + word[1:])[follows], return_inverse=True)
-        self.pair_counts = self._per_document(doc[1:][follows], pair, max(len(self.pairs), 1))
+        self.pairs, pair = np.unique(word[:-1][follows] * np.int64(self.size) + word[1:][follows], return_inverse=True)
+        self.pair_counts = self._per_document(doc[1:][follows], pair.astype(np.int32), max(len(self.pairs), 1))
 
     @staticmethod
     def _per_document(doc: np.ndarray, what: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, expression, times) of each expression that a document holds."""
-        key, times = np.unique(doc * size + what, return_counts=True)
-        return key // size, key % size, times
+        key, times = np.unique(doc * np.int64(size) + what, return_counts=True)
+        return (key // size).astype(np.int32), (key % size).astype(np.int32), times.astype(np.int32)
 
     def counts(self, entries: tuple, size: int, take: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """By class: occurrences of each expression, and documents that hold it, in the documents taken."""
