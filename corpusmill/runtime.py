@@ -39,6 +39,13 @@ def shared_root(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this session's operators have written; results that read them are then void."""
+    for s in getattr(spark.sparkContext, "_corpusmill_used", []):
+        s.drop()
+    spark.sparkContext._corpusmill_used = []
+
+
 class Scratch:
     """Intermediate tables of one run in the shared folder.
 
@@ -49,15 +56,18 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+        used = getattr(spark.sparkContext, "_corpusmill_used", [])
+        spark.sparkContext._corpusmill_used = [*used, self]
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         p = f"{self.path}/{name}"
         df.write.parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
+        """Remove one table, or without a name all of them."""
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def blobs(self, df: DataFrame, name: str, column: str = "blob") -> str:
