@@ -44,10 +44,10 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: the smallest doc_id, null last, and of its texts that with the smallest hash.
 
-    Rows are told apart by id and text, so rows that share an id, or have none, are
-    grouped by their texts like any other.
+    Rows are told apart by all their columns, so rows that share an id, or have none, are
+    grouped by their texts like any other, and only repeats of a whole row are one.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
     groups = simhash.near_duplicate_groups(keyed, id_col="_row", radius=RADIUS, words_per_shingle=3).select(F.col("doc_id").alias("_row"), "component_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row")))
     kept = keyed.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
@@ -77,9 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
+    """Applies the stages to documents; each result is written to the shared folder and read again.
+
+    A stage's table is removed when the next one is written.
+    """
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
