@@ -39,7 +39,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one vocabulary; leaf: characters (or bytes of a single pre-token) encoded at once."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 4096, piece_leaf: int = 512):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 1024, piece_leaf: int = 512):
         self.base = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.whole = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.pattern, self.ranks, self.leaf, self.piece_leaf = regex.compile(pattern), ranks, leaf, piece_leaf
@@ -104,10 +104,7 @@ class Codec:
         k = 1
         while True:
             a, b = left[-k:], right[:k]
-            window = b"".join(self.bytes_of[t] for t in [*a, *b])
-            mid = self.whole._core_bpe.encode_single_piece(window) if len(window) <= 2 * self.piece_leaf else None
-            if mid is None or (k >= len(left) and k >= len(right)):
-                return mid if mid is not None else self.whole._core_bpe.encode_single_piece(b"".join(self.bytes_of[t] for t in [*left, *right]))
+            mid = self.whole._core_bpe.encode_single_piece(b"".join(self.bytes_of[t] for t in [*a, *b]))
             if (k >= len(left) or self.stable(left[-k - 1], mid[0])) and (k >= len(right) or self.stable(mid[-1], right[k])):
                 return left[:-k] + mid + right[k:]
             k *= 2
