@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusmill.operators.stats import quantiles
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -39,12 +41,19 @@ def best_vs_worst(df: DataFrame, group: list[str], score: str, position: str, te
     return _margin(g.filter("n > 1"), group, score, position, text, margin)
 
 
-def all_pairs(df: DataFrame, group: list[str], score: str, position: str, text: str, margin: float) -> DataFrame:
-    """Every ordered pair of a group's candidates whose margin suffices. Quadratic in a candidate group by definition."""
-    order = F.struct(F.col(score), (-F.col(position)).alias("p"))
-    side = df.select(*group, F.struct(text, score, position).alias("s"), order.alias("o"))
-    a, b = side.select(*group, F.col("s").alias("c"), F.col("o").alias("oc")), side.select(*group, F.col("s").alias("r"), F.col("o").alias("orr"))
-    return _margin(a.join(b, group).filter("oc > orr"), group, score, position, text, margin)
+def all_pairs(df: DataFrame, group: list[str], score: str, position: str, text: str, margin: float, most: int = 1000) -> DataFrame:
+    """Every ordered pair of a group's candidates whose margin suffices.
+
+    Quadratic in a candidate group by definition: a group of more than ``most`` candidates is
+    an error, not cut. Pairs are made inside each group's array, after one shuffle.
+    """
+    row = F.struct(F.col(score).alias("o"), (-F.col(position)).alias("p"), F.struct(text, score, position).alias("s"))
+    groups = df.groupBy(*group).agg(F.sort_array(F.collect_list(row), asc=False).alias("_g"))
+    checked = F.when(F.size("_g") > most, F.raise_error(F.lit(f"a group has over {most} candidates"))).otherwise(F.col("_g"))
+    groups = groups.select(*group, checked.alias("_g")).select(*group, "_g", F.posexplode("_g").alias("_i", "_c"))
+    pairs = groups.select(*group, "_c", F.explode(F.slice("_g", F.col("_i") + 2, F.lit(most))).alias("_r"))
+    better = F.struct("_c.o", "_c.p") > F.struct("_r.o", "_r.p")
+    return _margin(pairs.filter(better).select(*group, F.col("_c.s").alias("c"), F.col("_r.s").alias("r")), group, score, position, text, margin)
 
 
 def _margin(pairs: DataFrame, group, score, position, text, margin) -> DataFrame:
@@ -95,6 +104,11 @@ def selection_score(style, similarity, exact, near):
 
 
 def failure_report(pairs: DataFrame, near: float = 0.9, repeat: float = 0.35) -> DataFrame:
-    """One row of copy and repetition rates over rows with exact_copy, sequence_similarity and repeat_fraction."""
+    """One row of copy and repetition rates over rows with exact_copy, sequence_similarity and repeat_fraction.
+
+    The table is read more than once (the median is exact and taken range by range), so one
+    that is costly to make should be written first.
+    """
     rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return pairs.agg(F.count("*").alias("n_examples"), rate(F.col("exact_copy")).alias("exact_copy_rate"), rate(F.col("sequence_similarity") >= near).alias("near_copy_rate"), rate(F.col("sequence_similarity")).alias("avg_similarity"), F.round(F.median("sequence_similarity"), 6).alias("median_similarity"), rate(F.col("repeat_fraction")).alias("avg_repeat"), rate(F.col("repeat_fraction") >= repeat).alias("high_repeat_rate"))
+    median = quantiles(pairs, "sequence_similarity", [0.5])[0]
+    return pairs.agg(F.count("*").alias("n_examples"), rate(F.col("exact_copy")).alias("exact_copy_rate"), rate(F.col("sequence_similarity") >= near).alias("near_copy_rate"), rate(F.col("sequence_similarity")).alias("avg_similarity"), F.round(F.lit(median).cast("double"), 6).alias("median_similarity"), rate(F.col("repeat_fraction")).alias("avg_repeat"), rate(F.col("repeat_fraction") >= repeat).alias("high_repeat_rate"))

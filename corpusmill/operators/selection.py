@@ -104,7 +104,7 @@ def hash_sample(df: DataFrame, size: int, key: str, seed: int = 42) -> DataFrame
     return df.withColumn("_h", h).orderBy("_h", key).limit(size).drop("_h")
 
 
-def hash_rank(df: DataFrame, key: str, seed: int | Column, partition: list[str], bits: int = 12) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, seed: int | Column, partition: list[str], bits: int = 16) -> DataFrame:
     """Adds _r, the rank (1..n) by md5 within each partition, and _n, its size, without sorting a partition whole.
 
     Rows are bucketed by the hash's leading bits; a bucket's rank offset is a running sum

@@ -9,27 +9,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def value_counts(df: DataFrame, c: str, ranges: int = 256) -> DataFrame:
+    """(_v, _c, _before): each value that is no null, its rows, and the rows with smaller values.
+
+    Values are ordered range by range: ranges of equal numbers of rows are cut at
+    approximate quantiles, so a task orders the distinct values of one range, and one task
+    the totals of the ranges.
+    """
+    d = df.select(F.col(c).alias("_v")).filter("_v is not null")
+    cuts = d.agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col("_v"))) if cuts else F.lit(0)
+    counts = d.groupBy("_v").agg(F.count("*").alias("_c")).withColumn("_b", at)
+    before = lambda n, w: F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
+    totals = counts.groupBy("_b").agg(F.sum("_c").alias("_n")).select("_b", before("_n", W.orderBy("_b")).alias("_above"))
+    within = counts.withColumn("_in", before("_c", W.partitionBy("_b").orderBy("_v")))
+    return within.join(F.broadcast(totals), "_b").select("_v", "_c", (F.col("_above") + F.col("_in")).alias("_before"))
+
+
+def quantiles(df: DataFrame, c: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation between the two nearest rows; None without a value."""
+    counts = value_counts(df, c)
+    n = df.agg(F.count(c)).first()[0]
+    if not n:
+        return [None] * len(shares)
+    places = sorted({int(k) for p in shares for k in (p * (n - 1), min(p * (n - 1) + 1, n - 1))})
+    held = lambda k: (F.col("_before") <= k) & (F.col("_before") + F.col("_c") > k)
+    row = counts.agg(*[F.max(F.when(held(k), F.col("_v"))).alias(str(k)) for k in places]).first()
+    out = []
+    for p in shares:
+        k, part = divmod(p * (n - 1), 1)
+        low, high = (float(row[str(min(int(k) + i, n - 1))]) for i in (0, 1))
+        out.append(low + (high - low) * part)
+    return out
+
+
 def describe(df: DataFrame, c: str, digits: int = 6) -> DataFrame:
+    """count, mean, std, min, exact quartiles and max; no task holds all values."""
     r = lambda x: F.round(x, digits)
-    q = lambda p: r(F.percentile(c, F.lit(p)))
-    return df.agg(F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"), r(F.min(c)).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), r(F.max(c)).alias("max"))
+    q25, q50, q75 = quantiles(df, c, [0.25, 0.5, 0.75])
+    q = lambda v: r(F.lit(v).cast("double"))
+    return df.agg(F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"), r(F.min(c)).alias("min"), q(q25).alias("q25"), q(q50).alias("q50"), q(q75).alias("q75"), r(F.max(c)).alias("max"))
 
 
 def average_ranks(df: DataFrame, c: str, out: str, ranges: int = 256) -> DataFrame:
-    """Adds average ranks (ties share their mean). Ranks come from value counts, ordered range by range.
-
-    Ranges of equal numbers of rows are cut at approximate quantiles, so a task orders the
-    distinct values of one range, and one task the totals of the ranges.
-    """
-    counts = df.groupBy(c).agg(F.count("*").alias("_c"))
-    cuts = df.agg(F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    b = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col(c))) if cuts else F.lit(0)
-    counts = counts.withColumn("_b", b)
-    running = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
-    totals = counts.groupBy("_b").agg(F.sum("_c").alias("_n"))
-    totals = totals.select("_b", (F.sum("_n").over(running(W.orderBy("_b"))) - F.col("_n")).alias("_before"))
-    within = F.sum("_c").over(running(W.partitionBy("_b").orderBy(c)))
-    ranks = counts.join(F.broadcast(totals), "_b").select(F.col(c).alias("_v"), (F.col("_before") + within - (F.col("_c") - 1) / 2).alias(out))
+    """Adds average ranks (ties share their mean), from value counts."""
+    ranks = value_counts(df, c, ranges).select("_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
 
 

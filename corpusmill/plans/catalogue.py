@@ -333,7 +333,9 @@ def copy_penalty(spark, d):
 def failure_report(spark, d):
     ship(spark)
     p = pairs_of_turns(spark, d).repartition("conv_id", "turn")
-    return rerank.failure_report(p.select(T.exact_copy(F.col("src"), F.col("cand")).alias("exact_copy"), T.sequence_ratio(T.normalize(F.col("src")), T.normalize(F.col("cand"))).alias("sequence_similarity"), T.max_repeat_fraction(T.tokens(F.col("cand"))).alias("repeat_fraction")))
+    m = p.select(T.copy_parts(F.col("src"), F.col("cand")).alias("c"), T.max_repeat_fraction(T.tokens(F.col("cand"))).alias("repeat_fraction"))
+    m = Scratch(spark, "failures").table(m.select("c.exact_copy", "c.sequence_similarity", "repeat_fraction"), "metrics")
+    return rerank.failure_report(m)
 
 
 @query()

@@ -117,6 +117,23 @@ def test_ngrams_at_a_lower_bound(spark, sf):
         assert abs(r.repetition_penalty - p) < 1e-5 and abs(r.weight - 1 / (1 + p)) < 1e-5
 
 
+def test_quantiles_and_pairs(spark):
+    rng = random.Random(8)
+    for values in ([], [3.0], [1.0, 2.0], [round(rng.gauss(0, 1), 1) for _ in range(501)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        got = stats.quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0])
+        s = sorted(values)
+        for p, x in zip([0.0, 0.25, 0.5, 0.9, 1.0], got):
+            k = p * (len(s) - 1)
+            assert x is None if not s else abs(x - (s[int(k)] + (s[min(int(k) + 1, len(s) - 1)] - s[int(k)]) * (k - int(k)))) < 1e-9
+    rows = [(1, i, float(i % 3), f"t{i}") for i in range(5)] + [(2, 0, 1.0, "only")]
+    df = spark.createDataFrame(rows, "g long, at int, score double, txt string")
+    got = {(r.chosen_pos, r.rejected_pos) for r in rerank.all_pairs(df, ["g"], "score", "at", "txt", 0.5).collect()}
+    assert got == {(a, b) for _, a, x, _ in rows[:5] for _, b, y, _ in rows[:5] if x - y >= 0.5}
+    with pytest.raises(Exception, match="over 4 candidates"):
+        rerank.all_pairs(df, ["g"], "score", "at", "txt", 0.5, most=4).collect()
+
+
 def test_candidates(spark):
     assert column(spark, scorers.dedupe_candidates(F.col("x")), x=["b", "A ", "B", "", " a", "c"]) == ["b", "A ", "c"]
     assert column(spark, scorers.first_distinct(F.col("x"), 2), x=["b", "a", "b", "c"]) == ["b", "a"]
