@@ -8,7 +8,7 @@ context hashes with backoff weights (and counts for words), and a level of succe
 successor's key is mixed from its context's rank and its own hash, so keys are evenly
 spread however many successors a context has. All levels are Elias-Fano coded: low bits
 packed, high parts in unary. Every n-gram counted is kept.
-A successor that was never seen is taken for another with a chance of about 2**-24, a
+A successor that was never seen is taken for another with a chance of about 2**-20, a
 pair for another with one of (pairs in the shard) / 2**40.
 Discounted probabilities and backoff weights are quantised to one byte. Scoring maps
 the shard files into memory; nothing of the model is held in an executor's heap.
@@ -28,6 +28,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import SparkFiles
@@ -40,7 +41,8 @@ U = np.uint64
 END, START = 0x1D4F3A9B7C5E2081, 0x6B8E0F2D4C9A7135  # hashes of the end token and of the start context
 KEY_BITS = 40  # of a word within its context, and of a pair within its shard
 LAST_BITS = 32  # of a word after a pair
-SURE_BITS = 24  # of a successor's key beyond those that number its level
+LONG = 64  # bytes of a word from which on it is hashed alone
+SURE_BITS = 20  # of a successor's key beyond those that number its level
 MAGIC = b"CMTRIE02"
 
 
@@ -167,39 +169,55 @@ def quantise(values: np.ndarray, bins: int = 256) -> tuple[np.ndarray, np.ndarra
 
 
 # -- blocks of tokens ---------------------------------------------------------
-class _Numbers(dict):
-    def __missing__(self, w):
-        self[w] = n = len(self)
-        return n
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, eight bytes at a time over all strings together; of long ones by xxHash."""
+    offsets = np.frombuffer(words.buffers()[1], "<i4", len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
+    start, size = offsets[:-1], np.diff(offsets)
+    h = size.astype(U)
+    for k in range(0, LONG, 8):
+        act = np.flatnonzero((size > k) & (size <= LONG))
+        if not len(act):
+            break
+        left = np.minimum(size[act] - k, 8).astype(U)
+        h[act] = mixed(h[act], lanes[start[act] + k] & (~U(0) >> (U(64) - U(8) * left)))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return h
 
 
 class Block:
     """Token numbers of some documents, and the hashes of their distinct words. 0 is the end, 1 the start context."""
 
-    def __init__(self, texts: list[bytes | None]):
-        number = _Numbers({b" end": 0, b" start": 1})
-        get = number.__getitem__
-        parts = []
-        for t in texts:
-            w = (t or b"").lower().split()
-            a = np.empty(len(w) + 1, np.int64)
-            a[:-1] = np.fromiter(map(get, w), np.int64, len(w))
-            a[-1] = 0
-            parts.append(a)
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        h = xxhash.xxh64_intdigest
-        self.hash = np.array([END, START, *(h(w) for w in list(number)[2:])], U)
+    def __init__(self, texts: pa.Array | list[str | None]):
+        texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+        filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        if not filled.all():  # white space at either end of a text leaves empty words
+            flat, ends = flat.filter(pa.array(filled)), np.concatenate([[0], np.cumsum(filled)])[ends]
+        coded = flat.dictionary_encode()
+        self.sizes = np.diff(ends, prepend=0) + 1
+        self.tokens = np.zeros(int(self.sizes.sum()), np.int32)
+        last = np.cumsum(self.sizes) - 1
+        inside = np.ones(len(self.tokens), bool)
+        inside[last] = False
+        self.tokens[inside] = coded.indices.to_numpy(zero_copy_only=False) + 2
+        self.hash = np.concatenate([np.array([END, START], U), word_hashes(coded.dictionary)])
         self.context = np.empty_like(self.tokens)
         self.context[1:] = self.tokens[:-1]
-        if len(parts):
-            self.context[np.concatenate([[0], np.cumsum(self.sizes)[:-1]])] = 1
+        self.context[np.concatenate([[0], last[:-1] + 1])[: len(last)]] = 1
+        del split, flat, coded, inside
         n = len(self.hash)
-        pair, self.pair_of, self.pair_times = np.unique(self.context * n + self.tokens, return_inverse=True, return_counts=True)
+        pair, pair_of, self.pair_times = np.unique(self.context.astype(np.int64) * n + self.tokens, return_inverse=True, return_counts=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del pair_of
         self.left, self.right = pair // n, pair % n
         self.pair_hash = mixed(self.hash[self.left], self.hash[self.right])
-        self.inner = np.flatnonzero(self.context != 1)  # tokens with two before them, the start counted
-        triple, self.triple_of, self.triple_times = np.unique(self.pair_of[self.inner - 1] * n + self.tokens[self.inner], return_inverse=True, return_counts=True)
+        self.inner = np.flatnonzero(self.context != 1).astype(np.int32)  # tokens with two before them, the start counted
+        triple, triple_of, self.triple_times = np.unique(self.pair_of[self.inner - 1].astype(np.int64) * n + self.tokens[self.inner], return_inverse=True, return_counts=True)
+        self.triple_of = triple_of.astype(np.int32)
         self.before, self.last = triple // n, triple % n  # a pair's number, a word's
 
 
@@ -228,18 +246,26 @@ def level_key(rank: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return mixed(rank, key) >> U(64 - SURE_BITS - n.bit_length())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
-    ids, texts, size = [], [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (columns 0 and 1) in runs of rows with about ``most`` bytes of text."""
+    parts, size = [], 0
+
+    def joined():
+        return pa.concat_arrays([p.column(0) for p in parts]), pa.concat_arrays([p.column(1) for p in parts])
+
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            size += len(t or b"")
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(b.num_rows, int(np.searchsorted(ends, before + most - size, side="left")) + 1)
+            parts.append(b.slice(at, end - at))
+            size += int(ends[end - 1]) - before
+            at = end
             if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield joined()
+                parts, size = [], 0
+    if parts:
+        yield joined()
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,7 +376,7 @@ def _dump_level(h: np.ndarray, ctx: np.ndarray, key: np.ndarray, times: np.ndarr
 def build_shard(shard: int, blobs: list[bytes]) -> bytes:
     """The trie file of one shard."""
     words, pairs, c = _merge(blobs)
-    size = 4 if c.max(initial=0) < 1 << 32 else 8
+    size = 4 if c.max(initial=0) < 1 << 32 else 8  # the head names the width
     head = [MAGIC, struct.pack("<QQQQQ", shard, int(c.sum()), int((c > 0).sum()), len(c), size), _pad(c.astype(f"<u{size}").tobytes())]
     return b"".join([*head, *_dump_level(*words, 64), *_dump_level(*pairs, KEY_BITS)])
 
@@ -450,16 +476,17 @@ def _model(root: str, files: list[str], shards: int, local: bool) -> Model:
     return _MODELS[root]
 
 
-def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20) -> tuple[str, int]:
+def train(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 12 << 20) -> tuple[str, int]:
     """Count docs and write the trie files; returns their folder and the number of shards."""
     spark = docs.sparkSession
     ship(spark)
     n = slices(spark, docs, shard_bytes)
-    src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t"))
+    src = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _blocks(batches, block_bytes):
             rows = list(_requests(Block(texts), n))
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,6 +529,6 @@ def score(docs: DataFrame, folder: str, shards: int, id_col: str = "doc_id", tex
         for ids, texts in _blocks(batches, block_bytes):
             block = Block(texts)
             known, base, total = model.score(block)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(block.sizes), pa.array(known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(block.sizes), pa.array(known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
