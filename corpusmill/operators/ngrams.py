@@ -18,17 +18,8 @@ def document_frequency(df: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3)
 
 
 def overused(df: DataFrame, text: str, at_least: int = 75, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """(gram, n) of the n-grams that occur in at_least rows or more.
-
-    Rows are counted by a 64-bit hash of the n-gram first, which shuffles no text; n-grams
-    whose hash is frequent are then counted exactly.
-    """
-    grams = df.select(F.explode(T.ngram_set(T.tokens(F.col(text)), sizes)).alias("gram"))
-    h = F.xxhash64("gram").alias("h")
-    frequent = Scratch(df.sparkSession, "grams").table(grams.select(h).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least).select("h"), "frequent")
-    some = frequent.count() <= 1_000_000
-    kept = grams.withColumn("h", h).join(F.broadcast(frequent) if some else frequent, "h", "left_semi")
-    return kept.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
+    """(gram, n) of the n-grams that occur in at_least rows or more."""
+    return document_frequency(df, text, sizes).filter(F.col("n") >= at_least)
 
 
 def hits(df: DataFrame, key: str, text: str, grams: DataFrame, sizes: tuple[int, ...] = (2, 3), few: int = 500_000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def value_counts(df: DataFrame, c: str, ranges: int = 256) -> DataFrame:
+def value_counts(df: DataFrame, c: str, ranges: int = 64) -> DataFrame:
     """(_v, _c, _before): each value that is no null, its rows, and the rows with smaller values.
 
     Values are ordered range by range: ranges of equal numbers of rows are cut at
@@ -17,9 +17,16 @@ def value_counts(df: DataFrame, c: str, ranges: int = 256) -> DataFrame:
     the totals of the ranges.
     """
     d = df.select(F.col(c).alias("_v")).filter("_v is not null")
-    cuts = d.agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    at = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < F.col("_v"))) if cuts else F.lit(0)
-    counts = d.groupBy("_v").agg(F.count("*").alias("_c")).withColumn("_b", at)
+    cuts = sorted(set(d.agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
+
+    def place(low: int, high: int) -> Column:
+        """The number of cuts below the value, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("_v") <= cuts[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    counts = d.groupBy("_v").agg(F.count("*").alias("_c")).withColumn("_b", place(0, len(cuts)))
     before = lambda n, w: F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
     totals = counts.groupBy("_b").agg(F.sum("_c").alias("_n")).select("_b", before("_n", W.orderBy("_b")).alias("_above"))
     within = counts.withColumn("_in", before("_c", W.partitionBy("_b").orderBy("_v")))
@@ -51,7 +58,7 @@ def describe(df: DataFrame, c: str, digits: int = 6) -> DataFrame:
     return df.agg(F.count(c).alias("count"), r(F.avg(c)).alias("mean"), r(F.stddev_samp(c)).alias("std"), r(F.min(c)).alias("min"), q(q25).alias("q25"), q(q50).alias("q50"), q(q75).alias("q75"), r(F.max(c)).alias("max"))
 
 
-def average_ranks(df: DataFrame, c: str, out: str, ranges: int = 256) -> DataFrame:
+def average_ranks(df: DataFrame, c: str, out: str, ranges: int = 64) -> DataFrame:
     """Adds average ranks (ties share their mean), from value counts."""
     ranks = value_counts(df, c, ranges).select("_v", (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
     return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
