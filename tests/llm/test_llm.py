@@ -132,10 +132,22 @@ def test_bpe_equals_library():
         assert ids == want.encode_ordinary(s) and codec.decode(ids) == s.encode()
 
 
+def test_bpe_long_runs():
+    """Long texts, with and without seams, at the leaf size in use; windows grow through a run that has none."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    codec, want = bpe.Codec(ranks, P.PATTERN), tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(18)
+    texts = ["a" * 5000, "ab" * 3000, "the" * 4000, "=" * 9000, "é" * 3000, " " * 5000, "\n" * 3000 + "x", "".join(rng.choice("abcdefgh") for _ in range(20_000)), " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 12))) for _ in range(5000)), "a b" + "c" * 3000 + " d" * 2000]
+    for t in texts:
+        ids = codec.encode(t)
+        assert ids == want.encode_ordinary(t) and codec.decode(ids) == t.encode()
+
+
 def test_bpe_documents(spark, edge):
     got = bpe.encode_documents(edge, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     assert len(got) == len(EDGE)
     assert {r.decoded_sha256 for r in got} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in EDGE}
+    assert bpe.encode_documents(edge.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
 def library_rows(docs):
@@ -207,13 +219,17 @@ def brute_links(v, cosine):
     return m
 
 
-@pytest.mark.parametrize("cell", [2048, 40])
-def test_cover_tree(spark, cell):
+@pytest.mark.parametrize("cell,kind", [(2048, "float"), (40, "float"), (40, "double"), (20, "int")])
+def test_cover_tree(spark, cell, kind):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 8))
     v = np.concatenate([base, base[:30] + 0.05 * rng.normal(size=(30, 8)), np.repeat(base[:1], 20, 0), base[:3] + 0.1 * rng.normal(size=(3, 8)), rng.normal(size=(80, 8))]).astype(np.float32)
-    rows = [(i, v[i].tolist(), i % 2) for i in range(len(v))] + [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] + [1.0] * 7, 0), (1003, [1.0] * 8, None)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    if kind == "int":
+        v = (v * 1000).astype(np.int32)
+    rows = [(i, v[i].tolist(), i % 2) for i in range(len(v))] + [(1000, None, 0), (1001, (0 * v[0]).tolist(), 0), (1002, v[0].tolist()[:-1] + [None], 0), (1003, v[0].tolist(), None)]
+    if kind != "int":
+        rows[-2] = (1002, [float("nan")] + [1.0] * 7, 0)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").withColumn("cell", F.lit("clash")).withColumn("v", F.lit(0))
     got = {r.vec_id: r for r in covertree.links(df, cosine=0.95, cell=cell, pivots=4).collect()}
     assert len(got) == len(rows)
     for label in (0, 1):
@@ -225,6 +241,33 @@ def test_cover_tree(spark, cell):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(1000, 1004))
 
 
+def test_cover_tree_edge(spark):
+    rng = np.random.default_rng(16)
+    a, b = rng.normal(size=6), rng.normal(size=6)
+    rows = [(1, a.tolist(), "x"), (1, (2 * a).tolist(), "x"), (1, b.tolist(), "x"), (2, a.tolist(), "x"), (2, a.tolist(), "x"), (3, a[:5].tolist(), "x"), (4, a[:5].tolist(), "x"), (5, a.tolist(), "y"), (None, a.tolist(), "x"), (6, [], "x"), (7, (b * 1e-3).tolist(), "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    for cell in (8192, 2):
+        got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in covertree.links(df, cell=cell, pivots=2).collect())
+        assert got == {(1, 3, 1, True): 2, (1, 1, 1, True): 1, (2, 3, 1, False): 2, (3, 1, 3, True): 1, (4, 1, 3, False): 1, (5, 0, 5, True): 1, (None, 0, None, False): 1, (6, 0, 6, True): 1, (7, 1, 1, False): 1}
+    assert covertree.links(df.limit(0)).count() == 0
+
+
+def test_cover_tree_parts_cells(spark):
+    """Clusters far apart: cells meet their neighbours only, and centres lie in different clusters."""
+    rng = np.random.default_rng(17)
+    base = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    v = np.concatenate([base[i] + 0.01 * rng.normal(size=(40, 16)) for i in range(16)])
+    assert sorted(i // 40 for i in covertree.centers(v / np.linalg.norm(v, axis=1)[:, None], 16)) == list(range(16))
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    i, j = covertree.dual_links(x, tree := covertree.build(x, np.arange(len(x)), leaf=4), tree, 0.98)
+    want = np.triu(x @ x.T >= 0.98, 1)
+    assert len(i) == want.sum() and want[np.minimum(i, j), np.maximum(i, j)].all()
+    df = spark.createDataFrame([(k, r.tolist(), 0) for k, r in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = covertree.links(df, cell=100).collect()
+    m = x @ x.T >= 0.98
+    assert all(r.n_links == m[r.vec_id].sum() - 1 and r.component_id == r.vec_id // 40 * 40 for r in got)
+
+
 def test_warc_round_trip(spark):
     big = "<p>é" + "x" * 40_000
     rows = [(1, "u1", "a" * 1000), (2, "u2", "a" * 1000), (3, "u3", "a" * 999), (4, "u4", "a" * 999), (5, None, None), (6, "u\r\n6", big), (7, "u7", "WARC/1.1\r\n\r\n" * 200), (8, "u8", ""), (None, "u9", "a" * 1000)]
@@ -648,7 +691,7 @@ def test_language_model_equals_brute_force(spark, sf):
 
 
 def test_language_model_keeps_every_ngram(spark):
-    texts = [b"a b c", b"a b d", b"x a b c", None]
+    texts = ["a b c", " A  b\td\n", "x a b c", None]
     block = ngram_lm.Block(texts)
     shards = 3
     assert len(block.left) == 9 and len(block.before) == 7
@@ -685,12 +728,89 @@ def test_pipeline_keeps_one_row_of_each_group(spark, sf):
     assert [t in (c, c + " end") for i, t in got if i is None] == [True]
 
 
-def test_pipeline(spark, sf):
+def brute_groups(rows, radius=6):
+    """Rows kept of (doc_id, text) rows: the first of each group of linked fingerprints, by id (null last)."""
+    fps = [fingerprint(t) for _, t in rows]
+    low = union_find(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius])
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best.setdefault(low[k], []).append((i is None, i or 0))
+    return Counter(min(v) for v in best.values())
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage on all that the one before kept, judged row by row in plain Python."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, sf)
-        assert kept.columns == docs.columns and kept.select("doc_id").subtract(docs.select("doc_id")).count() == 0
-        docs = kept
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count() > 50
+    odd = [(900001, None, None, None, 0), (900002, "", "en", "s", 0), (None, "no id but words of its own here", "en", "s", 30), (900003, "12 345 !!", None, "s", 9)]
+    extra = spark.createDataFrame(odd, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.unionByName(extra).unionByName(docs.limit(5)).withColumn("score", F.lit(1.5)).withColumn("fp", F.lit("x")).withColumn("h", F.lit(2))
+    benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        out = Scratch(spark, "t").table(stage(spark, docs, sf), name)
+        if name == "bpe":
+            enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+            assert Counter((r.doc_id, bytes(r.ids)) for r in out.collect()) == Counter((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in rows)
+            continue
+        assert out.columns == docs.columns
+        got = Counter((r.doc_id, r.text) for r in out.collect())
+        if name == "simhash":
+            assert Counter((i is None, i or 0) for i, _ in got.elements()) == brute_groups(rows) and not got - Counter(rows)
+        else:
+            if name == "toxicity":
+                model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+                keep = lambda t: model.score(t) < corpus_pipeline.TOXIC  # noqa: E731, B023
+            elif name == "language":
+                lm = langid.fit(docs)
+                keep = lambda t: lm.predict(t)[0] != "und" and lm.predict(t)[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE  # noqa: E731, B023
+            else:
+                items = [decontaminate.words(t) for _, t in benchmark if decontaminate.words(t)]
+                held = lambda w, x: decontaminate.align(np.array(x), np.array(w))[0] >= len(x) if set(w) & set(x) else False
+                keep = lambda t: not any(held(decontaminate.words(t), x) for x in items)  # noqa: E731, B023
+            assert got == Counter((i, t) for i, t in rows if keep(t))
+        docs = out
+    assert docs.count() > 50
+
+
+def test_pipeline_run(spark, sf):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def test_language_model_blocks():
+    rng = random.Random(15)
+    parts = ["a", "Word", "é", "\xa0", "漢字", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "x" * 70, "İ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "   ", "y" * 200_000]
+    block = ngram_lm.Block(texts)
+    low = {k: v for k, v in zip(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")}
+    words = [bytes(low.get(c, c) for c in (t or "").encode()).split() for t in texts]
+    assert block.sizes.tolist() == [len(w) + 1 for w in words]
+    code, at = {}, 0
+    for w in words:
+        got = block.tokens[at : at + len(w) + 1].tolist()
+        assert got[-1] == 0 and all(code.setdefault(x, c) == c for x, c in zip(w, got))
+        assert block.context[at : at + len(w) + 1].tolist() == [1, *got[:-1]]
+        at += len(w) + 1
+    assert len(set(code.values())) == len(code) == len(block.hash) - 2 == len(set(block.hash.tolist())) - 2
+    again = ngram_lm.Block(texts[::-1][:150])
+    of = dict(zip((x for w in words for x in w), (block.hash[code[x]] for w in words for x in w)))
+    at = 0
+    for w in words[::-1][:150]:
+        assert all(again.hash[again.tokens[at + k]] == of[x] for k, x in enumerate(w))
+        at += len(w) + 1
+
+
+def test_language_model_edge(spark, edge):
+    docs = edge.withColumn("score", F.lit(1)).unionByName(spark.createDataFrame([(9, "a b c d e " * 100_000, "x", 1)], "doc_id long, text string, fp string, score int"))
+    folder, n = ngram_lm.train(docs, Scratch(spark, "t"), shard_bytes=200)
+    got = ngram_lm.score(docs, folder, n, block_bytes=1000)
+    assert got.count() == len(EDGE) + 1 and got.filter("score > 0 or score is null or base_score > 0").count() == 0
+    by = Counter((r.doc_id, r.n_tokens, r.n_known) for r in got.collect())
+    assert by[4, 2001, 2001] == 2 and by[9, 500_001, 500_001] == 1 and by[1, 1, 1] == by[2, 1, 1] == 1
+    assert ngram_lm.score(docs.limit(0), folder, n).count() == 0
+    none, k = ngram_lm.train(docs.limit(0), Scratch(spark, "t"))
+    assert {(r.n_known, r.train_tokens, r.base_score) for r in ngram_lm.score(edge, none, k).collect()} == {(0, 0, 0.0)}
