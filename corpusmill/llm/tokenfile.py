@@ -14,7 +14,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,63 +32,107 @@ NO_ID = -(1 << 63)
 #: Set in the index beside the token count of a document without an id.
 _NULL = 1 << 63
 
-#: What the byte-level split never spans: the end of a run of letters before ASCII punctuation or a space, the end of
-#: closing punctuation, and any place where a non-space is followed by a space or line feed. A leading apostrophe may
-#: open a contraction, so it stays with what follows.
-_LETTERS, _MARKS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-/:-@\[-`{-~"
-_CHUNK = re.compile(rf" ?[{_LETTERS}]+(?=[ \n{_MARKS}]|\Z)| ?(?!')[{_MARKS}]+(?=[ \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
-#: For texts with other white space, after which nothing is cut: libraries differ in what counts as such.
-_ANY_CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: What the byte-level split never spans: the end of a run of letters before closing ASCII punctuation, and any place
+#: where a non-space is followed by a space or line feed.
+_LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAILED = rf"[{_LETTERS}](?P<tail>[{re.escape(_MARKS)}]+)$"
+#: Texts whose words do not stand apart by single spaces or line feeds are taken in chunks. After other white space
+#: nothing is cut: libraries differ in what counts as such.
+_ODD = "[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\\x00"
+_CHUNK = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
 
 class ChunkEncoder:
-    """The tokenizers library over whole texts, each distinct chunk encoded once as long as it is remembered.
+    """The tokenizers library over whole texts, each distinct word encoded once as long as it is remembered.
 
-    Chunks are kept in two generations of about ``keep`` bytes each: when the younger is full
-    it becomes the older, whose entries are taken over as they are met. A text that holds
-    one of the vocabulary's added tokens is encoded in one piece.
+    Texts are split into words with the white space before them, in Arrow; a word and its
+    closing punctuation are encoded apart. Words are kept in two generations of about
+    ``keep`` bytes each: when the younger is full it becomes the older, whose entries are
+    taken over as they are met. A text that holds one of the vocabulary's added tokens is
+    encoded in one piece.
     """
 
-    def __init__(self, definition: str, keep: int = 32 << 20):
+    def __init__(self, definition: str, keep: int = 24 << 20):
         from tokenizers import Tokenizer
 
         self.tok, self.young, self.old, self.size, self.keep = Tokenizer.from_str(definition), {}, {}, 0, keep
         self.tok.model._resize_cache(0)  # what reaches the library is new each time
         vocab = self.tok.get_vocab()  # byte-level: a token has one character for each byte
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         self.width[list(vocab.values())] = [len(k) for k in vocab]
 
-    def learn(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        """Encode new chunks. Those that start with space and end without keep their seams when
-        they stand one behind the other, so they are encoded in long runs and cut by byte length."""
-        runs = [c for c in chunks if c[0] in " \n" and not c[-1].isspace()]
-        runs = [runs[i : i + 500] for i in range(0, len(runs), 500)]
-        runs += [[c] for c in chunks if c[0] not in " \n" or c[-1].isspace()]
-        for run, e in zip(runs, self.tok.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False)):
+    def _encode(self, chunks: list[str]) -> Iterator[bytes]:
+        for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: list[str], before: str, into: dict[str, bytes]) -> None:
+        """Encode new words with ``before`` in front of each, in long runs that keep their seams and are cut by byte length."""
+        runs = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for run, e in zip(runs, self.tok.encode_batch_fast([before + before.join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            sizes = np.fromiter(map(len, map(str.encode, run)), np.int64, len(run))
+            sizes = np.fromiter(map(len, map(str.encode, run)), np.int64, len(run)) + len(before)
             ends = (4 * np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes), side="left") + 4).tolist()
             raw = ids.tobytes()
             into.update(zip(run, map(raw.__getitem__, map(slice, [0, *ends], ends))))
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of different words: with a space before them, or as they are behind a zero byte or with a line feed."""
+        if self.size > self.keep:
+            self.young, self.old, self.size = {}, self.young, 0
+        found = list(map(self.young.get, words))
+        new = [w for w, v in zip(words, found) if v is None]
+        if new:
+            fresh = {w: v for w, v in zip(new, map(self.old.get, new)) if v is not None}
+            new = [w for w in new if w not in fresh]
+            self.learn([w for w in new if w and w[0] not in "\x00\n"], " ", fresh)
+            self.learn([w for w in new if len(w) > 1 and w[0] == "\n"], "", fresh)
+            own = [w for w in new if w in ("", "\n") or w[0] == "\x00"]
+            fresh.update(zip(own, self._encode([w[1:] if w[:1] == "\x00" else w or " " for w in own])))
+            self.young.update(fresh)
+            self.size += 200 * len(fresh) + sum(map(len, fresh))
+            found = list(map(self.young.__getitem__, words))
+        return found
+
+    def _spaced(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose words stand apart by single spaces or line feeds. A zero byte marks the first word."""
+        split = pc.split_pattern(pc.binary_join_element_wise("\x00", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = split.flatten().dictionary_encode()
+        # each distinct word is a base and a tail of closing punctuation, or none
+        tails = pc.struct_field(pc.extract_regex(coded.dictionary, _TAILED), "tail").fill_null("").dictionary_encode()
+        bases = pc.if_else(pc.equal(tails, ""), coded.dictionary, pc.utf8_rtrim(coded.dictionary, _MARKS)).dictionary_encode()
+        values = [*self._known(bases.dictionary.to_pylist()), *self._encode(tails.dictionary.to_pylist())]
+        length = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        pool, start = np.frombuffer(b"".join(values), "<u4"), np.cumsum(length) - length
+        parts = np.stack([bases.indices.to_numpy(), tails.indices.to_numpy() + len(bases.dictionary)], axis=1)[coded.indices.to_numpy()].ravel()
+        n = length[parts]
+        end = np.cumsum(n)
+        raw = pool[np.repeat(start[parts] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        cuts = [0, *(4 * np.append(0, end)[2 * np.cumsum(pc.list_value_length(split).to_numpy())]).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.raws([text])[0]
 
-    def raws(self, texts: list[str]) -> list[bytes]:
-        parts = [None if self.added.search(t) else (_ANY_CHUNK if _OTHER_SPACE.search(t) else _CHUNK).findall(t) for t in texts]
-        need = set(chain.from_iterable(filter(None, parts)))
-        if self.size > self.keep:
-            self.young, self.old, self.size = {}, self.young, 0
-        if new := need.difference(self.young):
-            known = {c: self.old[c] for c in new.intersection(self.old)}
-            self.learn(list(new.difference(known)), known)
-            self.young.update(known)
-            self.size += 200 * len(known) + sum(map(len, known))
-        return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(self.young.__getitem__, p)) for t, p in zip(texts, parts)]
+    def raws(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        out: list[bytes] = [b""] * len(texts)
+        at = np.flatnonzero(~odd.to_numpy(zero_copy_only=False)).tolist()
+        for k, raw in zip(at, self._spaced(texts.take(pa.array(at, pa.int64()))) if at else []):
+            out[k] = raw
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            t = texts[k].as_py()
+            if any(x in t for x in self.added):
+                out[k] = next(self._encode([t]))
+            else:  # chunks as they are, behind a zero byte
+                chunks = ["\x00" + c for c in _CHUNK.findall(t)]
+                of = dict(zip(new := list(dict.fromkeys(chunks)), self._known(new)))
+                out[k] = b"".join(map(of.__getitem__, chunks))
+        return out
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
@@ -104,7 +147,7 @@ def _encoder(definition: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def _parts(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(b: pa.RecordBatch, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """b in runs of rows whose texts (column 1) have about ``most`` bytes together."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -223,8 +266,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
         enc, zip_, rows = _encoder(definition), compressor(dictionary), 0
         for b in batches:
             for part in _parts(b):
+                pa.default_memory_pool().release_unused()
                 ids = part.column(0).to_pylist()
-                raw = [r + end for r in enc.raws([t or "" for t in part.column(1).to_pylist()])]
+                raw = [r + end for r in enc.raws(part.column(1))]
                 at = np.array([NO_ID if i is None else i for i in ids], np.int64)
                 first, last = np.searchsorted(bounds, at, side="left"), np.searchsorted(bounds, at, side="right")
                 # an id that is several bounds at once has the ranges between them to itself
