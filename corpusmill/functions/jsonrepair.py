@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip
 
+#: The patterns by which replies are read, which results must agree with.
+ARRAY = r"(?s)\[\s*\{.*\}\s*\]"
+FLAT_OBJECT = r"(?s)\{[^{}]*\}"
+FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+WIDEST_OBJECT = r"(?s)\{.*\}"
+RETRY = r"(?i)retry[^\d]*(\d+)"
+
 
 def array_text(c: Column) -> Column:
     """The widest bracketed array of objects, else the whole text."""
-    found = F.regexp_extract(c, r"(?s)\[\s*\{.*\}\s*\]", 0)
+    found = F.regexp_extract(c, ARRAY, 0)
     return F.when(found != "", found).otherwise(c)
 
 
@@ -21,7 +28,7 @@ def json_array(c: Column, element: str) -> Column:
 
 def salvage(c: Column, element: str) -> Column:
     """As json_array; from a truncated reply, the complete flat objects it holds."""
-    flat = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\{[^{}]*\}"), F.lit(0)), lambda o: F.from_json(o, element))
+    flat = F.transform(F.regexp_extract_all(c, F.lit(FLAT_OBJECT), F.lit(0)), lambda o: F.from_json(o, element))
     whole = json_array(c, element)
     return F.when(whole.isNotNull() & (F.size(whole) > 0), whole).otherwise(F.filter(flat, lambda o: o.isNotNull()))
 
@@ -33,8 +40,8 @@ def json_object(c: Column, schema: str) -> Column:
         first = schema.split(",")[0].split()[0]
         return F.when(s[first].isNotNull(), s)
 
-    fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.coalesce(read(fence), read(c), read(F.regexp_extract(c, r"(?s)\{.*\}", 0)))
+    fence = F.regexp_extract(c, FENCED_OBJECT, 1)
+    return F.coalesce(read(fence), read(c), read(F.regexp_extract(c, WIDEST_OBJECT, 0)))
 
 
 def headlines(c: Column) -> Column:
@@ -45,7 +52,7 @@ def headlines(c: Column) -> Column:
 
 def retry_delay(c: Column) -> Column:
     """Seconds to wait that an error names, plus 5; 65 without a number."""
-    return F.coalesce(F.try_add(F.nullif(F.regexp_extract(c, r"(?i)retry[^\d]*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(5)), F.lit(65))
+    return F.coalesce(F.try_add(F.nullif(F.regexp_extract(c, RETRY, 1), F.lit("")).try_cast("int"), F.lit(5)), F.lit(65))
 
 
 def error_class(c: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions import scorers
+from corpusmill.functions import jsonrepair, scorers
 from corpusmill.operators import rerank, selection
 from corpusmill.runtime import ship
 
@@ -33,7 +33,7 @@ def wait_for(error: Exception, attempt: int) -> int:
     """Seconds before the next try: what a rate limit asks for plus 5 (65 if it names none), else a growing wait."""
     kind = kind_of(error)
     if kind == "rate":
-        found = re.search(r"retry[^\d]*(\d+)", str(error), re.I)
+        found = re.search(jsonrepair.RETRY, str(error))
         return int(found[1]) + 5 if found else 65
     return min(15 * attempt, 120) if kind == "unavailable" else 5 * attempt
 
