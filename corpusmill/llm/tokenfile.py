@@ -52,7 +52,7 @@ class ChunkEncoder:
     encoded in one piece.
     """
 
-    def __init__(self, definition: str, keep: int = 24 << 20):
+    def __init__(self, definition: str, keep: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tok, self.young, self.old, self.size, self.keep = Tokenizer.from_str(definition), {}, {}, 0, keep
@@ -147,7 +147,7 @@ def _encoder(definition: str) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def _parts(b: pa.RecordBatch, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """b in runs of rows whose texts (column 1) have about ``most`` bytes together."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -266,7 +266,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
         enc, zip_, rows = _encoder(definition), compressor(dictionary), 0
         for b in batches:
             for part in _parts(b):
-                pa.default_memory_pool().release_unused()
                 ids = part.column(0).to_pylist()
                 raw = [r + end for r in enc.raws(part.column(1))]
                 at = np.array([NO_ID if i is None else i for i in ids], np.int64)
